@@ -1,0 +1 @@
+"""Place for streaming queries; the present scope holds none."""

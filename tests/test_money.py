@@ -1,0 +1,66 @@
+from __future__ import annotations
+
+from decimal import Decimal
+
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.errors import ArithmeticException
+from pyspark.sql import functions as F
+
+from brightwater.functions.money import amount, discounted_units, high_part, low_part
+
+
+def total(df, units):
+    sums = df.select(high_part(units).alias("h"), low_part(units).alias("l")).agg(
+        F.sum("h").alias("h"), F.sum("l").alias("l")
+    )
+    return sums.select(amount(F.col("h"), F.col("l")).alias("total")).first()["total"]
+
+
+cents = st.integers(-(10**11), 10**11)
+percents = st.integers(-100, 200)
+
+
+@settings(max_examples=25, deadline=None, suppress_health_check=list(HealthCheck))
+@given(rows=st.lists(st.tuples(cents, percents), min_size=1, max_size=60), parts=st.integers(1, 9))
+def test_sum_equals_decimal_arithmetic(spark, rows, parts):
+    expected = sum(Decimal(c) / 100 * (1 - Decimal(p) / 100) for c, p in rows)
+    df = spark.createDataFrame([(c / 100, p / 100) for c, p in rows], "price double, discount double")
+    units = discounted_units(F.col("price"), F.col("discount"))
+    assert total(df.repartition(parts), units) == expected
+
+
+@pytest.mark.parametrize("parts", [1, 2, 3, 8, 64])
+def test_sum_does_not_depend_on_partitioning(spark, parts):
+    lines = spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet").repartition(parts)
+    units = discounted_units(F.col("l_extendedprice"), F.col("l_discount"))
+    exact = lines.agg(
+        F.sum(
+            F.col("l_extendedprice").cast("decimal(12,2)")
+            * (F.lit(1) - F.col("l_discount").cast("decimal(3,2)"))
+        ).alias("exact")
+    ).first()["exact"]
+    assert total(lines, units) == exact
+
+
+def test_sum_beyond_bigint_is_exact(spark):
+    """A plain bigint sum of these rows overflows; the two parts do not."""
+    price = Decimal("9999999999.99")
+    df = spark.range(200_000).select(F.lit(float(price)).alias("price"), F.lit(0.07).alias("discount"))
+    units = discounted_units(F.col("price"), F.col("discount"))
+    with pytest.raises(ArithmeticException):
+        df.agg(F.sum(units)).collect()
+    assert total(df, units) == 200_000 * price * Decimal("0.93")
+
+
+def test_values_go_to_nearest_cent_and_percent(spark):
+    df = spark.createDataFrame([(1.2349, 0.0), (1.0, 0.0651)], "price double, discount double")
+    units = discounted_units(F.col("price"), F.col("discount"))
+    assert [r[0] for r in df.select(units).collect()] == [12300, 9300]
+
+
+def test_null_amounts_are_left_out(spark):
+    df = spark.createDataFrame([(1.0, None), (None, 0.1), (2.0, 0.5)], "price double, discount double")
+    units = discounted_units(F.col("price"), F.col("discount"))
+    assert total(df, units) == 1
