@@ -3,8 +3,8 @@
 A sum of doubles depends on the order in which partitions are merged. A sum of
 decimals wider than 18 digits does not, but allocates an object per row. Here
 amounts become whole units in a bigint, and each amount is summed as a high
-and a low part. Neither part can overflow silently: the low parts stay in range
-for 2**43 rows, and ANSI mode raises if the high parts ever leave it.
+and a low part. The low parts stay in range for 2**43 rows. Should the high
+parts ever leave it, ANSI mode, the default, raises an error.
 """
 
 from __future__ import annotations

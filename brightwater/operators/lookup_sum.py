@@ -49,7 +49,9 @@ def sum_through_lookup(
     A larger one meets facts already summed per key. A key that holds a large
     share of the facts is then reduced to one row per map task before the
     shuffle, and the join reuses the partitioning of that sum. The merge hint
-    keeps Spark from broadcasting this lookup on an estimate.
+    keeps Spark from broadcasting this lookup on an estimate. The per-key sums
+    are the side it buffers, so it holds one row at a time even where a lookup
+    repeats a key.
     """
     sums = [F.sum(measure).alias(measure) for measure in measures]
     facts = facts.select(key, *measures)
@@ -57,5 +59,5 @@ def sum_through_lookup(
     if fits_broadcast(lookup, limit_bytes):
         joined = facts.join(F.broadcast(lookup), key)
     else:
-        joined = facts.groupBy(key).agg(*sums).join(lookup.hint("merge"), key)
+        joined = lookup.hint("merge").join(facts.groupBy(key).agg(*sums), key)
     return joined.groupBy(by).agg(*sums)
