@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brightwater.llm import simhash_pivots
+from brightwater.llm import simhash_pivots, window_dedup
 from brightwater.llm.common import table
 
 
@@ -14,8 +14,37 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_pivots.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return window_dedup.remove_repeated_windows(table(spark, sf_dir, "documents"), with_text=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_substring_dedup": op4_substring_dedup,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_substring_dedup": r"""
+WITH d AS (
+    SELECT row_number() OVER () AS r, doc_id,
+           list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+    FROM documents
+), w AS (
+    SELECT r, doc_id, p, array_to_string(ws[p:p + 12], ' ') AS g
+    FROM (SELECT r, doc_id, ws, unnest(range(1, len(ws) - 11)) AS p FROM d)
+), gone AS (
+    SELECT DISTINCT r, unnest(range(p, p + 13)) AS i
+    FROM (SELECT r, doc_id, p, min(doc_id) OVER (PARTITION BY g) AS least FROM w)
+    WHERE doc_id > least
+), kept AS (
+    SELECT a.r, string_agg(x, ' ' ORDER BY a.i) AS t, count(*) AS n
+    FROM (SELECT r, unnest(ws) AS x, unnest(range(1, len(ws) + 1)) AS i FROM d) a
+    LEFT JOIN gone b ON a.r = b.r AND a.i = b.i
+    WHERE b.r IS NULL
+    GROUP BY a.r
+)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words,
+       CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON d.r = kept.r
+""",
+}
