@@ -15,8 +15,8 @@ import pyarrow as pa
 #: Bytes of text that one slice holds at most, unless one text is longer.
 SLICE_BYTES = 4 << 20
 
-_IS_WORD = np.ones(256, bool)
-_IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
+IS_WORD = np.ones(256, bool)
+IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
 
 # Odd multipliers of the polynomial hashes, and those of the
 # public splitmix64 finalizer.
@@ -60,7 +60,7 @@ def split(column: pa.Array) -> Words:
     raw = column.buffers()[2]
     data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None else np.zeros(0, np.uint8)
     offsets = offsets - offsets[0]
-    inside = _IS_WORD[data]
+    inside = IS_WORD[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     begin, end = inside.copy(), inside.copy()
