@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brightwater.llm import quality, simhash_pivots, window_dedup
+from brightwater.llm import quality, secret_scan, simhash_pivots, window_dedup
 from brightwater.llm.common import table
 
 
@@ -22,10 +22,15 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return window_dedup.remove_repeated_windows(table(spark, sf_dir, "documents"), with_text=False)
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.find_secrets(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_substring_dedup": op4_substring_dedup,
     "op5_quality_rules": op5_quality_rules,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
+    "op10_secret_scan": op10_secret_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {
