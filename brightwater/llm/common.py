@@ -56,6 +56,11 @@ def words(text: Column) -> Column:
     return F.filter(found, lambda w: w != "")
 
 
+def let(value: Column, body) -> Column:
+    """`body(value)` with `value` evaluated once a row, even where `body` uses it in a lambda."""
+    return F.transform(F.array(value), body)[0]
+
+
 def row_key(doc_id: Column, text: Column) -> Column:
     """Identifies a document by its id and text, so that nulls and repeated ids can be joined."""
     return F.xxhash64(doc_id, text)

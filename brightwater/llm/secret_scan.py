@@ -19,6 +19,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brightwater.llm.common import let
+
 # The patterns, and the least length of the match or its second group.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 # Access and hex matches are longest runs to the right, so asking for the least
@@ -94,13 +96,20 @@ def _weight(count: Column) -> Column:
 
 def _random_runs(token: Column) -> Column:
     """Runs (start, end) of random windows in a candidate, from 0."""
-    kind = "array<struct<start:int,end:int>>"
+    codes = F.transform(F.split(token, "", -1), lambda ch: F.instr(F.lit(_ALPHABET), ch) - 1)
     bound = F.when(token.rlike("^[0-9A-Fa-f]+$"), F.lit(HEX_BITS)).otherwise(F.lit(TOKEN_BITS))
-    most = WINDOW * (math.log2(WINDOW) - bound)  # the sum of c * log2(c) below which a window is random
+    # the sum of c * log2(c) below which a window is random
+    most = WINDOW * (math.log2(WINDOW) - bound)
+    return let(codes, lambda found: let(most, lambda limit: _runs_of_codes(token, found, limit)))
+
+
+def _runs_of_codes(token: Column, codes: Column, most: Column) -> Column:
+    kind = "array<struct<start:int,end:int>>"
     size = len(_ALPHABET)
-    codes = F.transform(F.split(token, "", -1), lambda ch: F.instr(F.lit(_ALPHABET), ch) - 1)
-    first = F.slice(codes, 1, WINDOW)
-    counts = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.size(F.filter(first, lambda x: x == k)))
+    letters = F.sequence(F.lit(0), F.lit(size - 1))
+    counts = let(
+        F.slice(codes, 1, WINDOW), lambda first: F.transform(letters, lambda k: F.size(F.filter(first, lambda x: x == k)))
+    )
     total = F.aggregate(counts, F.lit(0.0), lambda s, c: s + _weight(c))
     run = F.array(F.struct(F.lit(0).alias("start"), F.lit(WINDOW).alias("end")))
     begin = F.struct(
