@@ -28,6 +28,55 @@ from brightwater.llm.common import map_arrow
 WIDTH = 13
 #: Words in the runs that choose a window's minimizer.
 MINIMIZER = 4
+#: Bytes of a window's hash that travel, beside four of its minimizer's.
+HASH_BYTES = 7
+
+# A row that travels is one binary value, which sorts by minimizer, then
+# document: these four numbers, big-endian, followed by the hashes of the run's
+# windows. Where the windows are settled, their number follows instead, in four
+# bytes, which is no multiple of HASH_BYTES.
+_HEAD = np.dtype([("mini", ">u4"), ("doc_id", ">u8"), ("mark", ">i4"), ("start", ">i4")])
+_SIGN = np.uint64(1 << 63)
+
+
+def _packed(mini, doc_id, mark, start, bounds, tail: np.ndarray) -> pa.Array:
+    """Row `r` gets the rows of `tail` (bytes) from `bounds[r]` up to `bounds[r + 1]`."""
+    rows, width = len(mini), tail.shape[1]
+    head = np.empty(rows, _HEAD)
+    head["mini"], head["mark"], head["start"] = mini, mark, start
+    head["doc_id"] = doc_id.view(np.uint64) ^ _SIGN
+    offsets = np.arange(rows + 1) * _HEAD.itemsize + bounds * width
+    out = np.empty(offsets[-1], np.uint8)
+    is_head = np.zeros(offsets[-1], bool)
+    is_head[(offsets[:-1, None] + np.arange(_HEAD.itemsize)).ravel()] = True
+    out[is_head] = head.view(np.uint8)
+    out[~is_head] = tail.ravel()
+    return pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(out)])
+
+
+def _unpacked(column: pa.Array):
+    """Heads, number of windows, whether they are settled, and the hashes of all that are not."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    size = np.diff(offsets) - _HEAD.itemsize
+    settled = size % HASH_BYTES != 0
+    is_head = np.zeros(len(data), bool)
+    is_head[(offsets[:-1, None] + np.arange(_HEAD.itemsize)).ravel()] = True
+    is_count = np.zeros(len(data), bool)
+    is_count[(offsets[1:][settled, None] - np.arange(4, 0, -1)).ravel()] = True
+    head = data[is_head].view(_HEAD)
+    n = size // HASH_BYTES
+    n[settled] = data[is_count].view(">i4")
+    tail = data[~is_head & ~is_count].reshape(-1, HASH_BYTES)
+    hashes = np.zeros((len(tail), 8), np.uint8)
+    hashes[:, :HASH_BYTES] = tail
+    return head, n, settled, hashes.view(np.uint64).ravel()
+
+
+def _run(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """First window in the high 32 bits, number of windows in the low ones."""
+    return (start.astype(np.int64) << 32) | n.astype(np.int64)
 
 
 def _least_of_each(values: np.ndarray, width: int) -> np.ndarray:
@@ -62,14 +111,6 @@ def _settled(hashes: np.ndarray, docs: np.ndarray) -> np.ndarray:
     return out
 
 
-_TRAVEL = pa.schema(
-    [
-        ("mini", pa.int64()), ("doc_id", pa.int64()), ("mark", pa.int32()),
-        ("start", pa.int32()), ("n", pa.int32()), ("hashes", pa.binary()),
-    ]
-)
-
-
 def _rows_of(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
 
@@ -93,26 +134,20 @@ def _emit(width: int, minimizer: int):
 
                 for chosen in (np.flatnonzero(~settled), np.flatnonzero(settled)):
                     travels = not len(chosen) or not settled[chosen[0]]
-                    # neighbours in one document and, if they travel, of one minimizer
+                    # neighbours in one document and, if they travel, with one minimizer
                     near = chosen - np.arange(len(chosen))
                     bounds = _runs(near, doc[chosen], mini[chosen]) if travels else _runs(near, doc[chosen])
                     first = chosen[bounds[:-1]]
                     if not len(first):
                         continue
                     if travels:
-                        hashed = pa.Array.from_buffers(
-                            pa.binary(), len(first), [None, pa.py_buffer((bounds * 8).astype(np.int32)), pa.py_buffer(hashes[chosen])]
-                        )
+                        tail = hashes[chosen].view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES]
                     else:
-                        hashed = pa.nulls(len(first), pa.binary())
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(mini[first].view(np.int64)), pa.array(ids[begin + doc[first]]),
-                            pa.array(marks[begin + doc[first]]), pa.array(start[first]),
-                            pa.array(np.diff(bounds).astype(np.int32)), hashed,
-                        ],
-                        schema=_TRAVEL,
-                    )
+                        tail = np.diff(bounds).astype(">i4").view(np.uint8).reshape(-1, 4)
+                        bounds = np.arange(len(bounds))
+                    row = begin + doc[first]
+                    packed = _packed((mini[first] >> np.uint64(32)).astype(np.uint32), ids[row], marks[row], start[first], bounds, tail)
+                    yield pa.RecordBatch.from_arrays([packed], ["packed"])
 
     return per_batch
 
@@ -127,13 +162,12 @@ def _find(batches):
     for batch in batches:
         if not batch.num_rows:
             continue
-        mini, ids, marks, start, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
-        column = batch.column("hashes")
-        done = column.is_null().to_numpy(zero_copy_only=False)
+        head, n, done, hashes = _unpacked(batch.column("packed"))
+        mini, marks, start = (head[name].astype(np.int64) for name in ("mini", "mark", "start"))
+        ids = (head["doc_id"].astype(np.uint64) ^ _SIGN).view(np.int64)
         runs = [(ids[done], marks[done], start[done], n[done])]
         rest = np.flatnonzero(~done)
         if len(rest):
-            hashes = np.frombuffer(b"".join(column.take(pa.array(rest)).to_pylist()), np.uint64)
             row = np.repeat(rest, n[rest])
             offset = np.arange(len(row)) - np.repeat(np.cumsum(n[rest]) - n[rest], n[rest])
             docs = ids[row]
@@ -167,7 +201,7 @@ def _find(batches):
                 runs.append((ids[of], marks[of], start[of] + offset[first], np.diff(bounds)))
         ids, marks, start, n = (np.concatenate(x) for x in zip(*runs))
         if len(ids):
-            yield _rows_of(_FOUND, doc_id=ids, mark=marks, run=(start.astype(np.int64) << 32) | n.astype(np.int64))
+            yield _rows_of(_FOUND, doc_id=ids, mark=marks, run=_run(start, n))
 
 
 def removable_windows(docs: DataFrame, width: int = WIDTH, minimizer: int = MINIMIZER) -> DataFrame:
@@ -175,10 +209,9 @@ def removable_windows(docs: DataFrame, width: int = WIDTH, minimizer: int = MINI
 
     `docs` has `doc_id` bigint, `mark` int (of the text) and `text`.
     """
-    travel = "mini bigint, doc_id bigint, mark int, start int, n int, hashes binary"
-    sent = map_arrow(docs.where("doc_id IS NOT NULL AND text IS NOT NULL"), _emit(width, minimizer), travel)
-    # rows that are settled already go where the hash of their minimizer sends them, and are passed on
-    met = sent.repartition("mini").sortWithinPartitions("mini", "doc_id")
+    sent = map_arrow(docs.where("doc_id IS NOT NULL AND text IS NOT NULL"), _emit(width, minimizer), "packed binary")
+    # settled rows go where the hash of their minimizer sends them, and are passed on
+    met = sent.repartition(F.substring("packed", 1, 4)).sortWithinPartitions("packed")
     return map_arrow(met, _find, "doc_id bigint, mark int, run bigint")
 
 
