@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brightwater.llm import tokens
-from brightwater.llm.common import map_arrow, write_shared
+from brightwater.llm.common import map_arrow, row_key, write_shared
 from brightwater.llm.components import components
 
 #: Fingerprints in a bucket that are compared in pairs.
@@ -198,6 +198,20 @@ def near_pairs(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
         level = write_shared(_finer_buckets(level.join(large, "key", "left_semi")), "buckets")
 
 
+def _roots(rows: DataFrame) -> DataFrame:
+    """Columns `fp` and `root` (the smallest fingerprint reached) of the distinct fingerprints of `rows`."""
+    distinct = write_shared(rows.select("fp").distinct(), "distinct")
+    linked = components(near_pairs(distinct)).withColumnRenamed("node", "fp")
+    return write_shared(distinct.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")), "roots")
+
+
+def with_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Columns `doc_id`, `row_key` (of id and text), `fp` and `root`; rows with equal `root` are one group."""
+    keys = docs.select(F.struct(doc_id, row_key(F.col(doc_id), F.col(text)).alias("row_key")).alias("key"), text)
+    rows = write_shared(fingerprints(keys, "key", text), "fingerprints").select("doc_id.*", "fp").withColumnRenamed(doc_id, "doc_id")
+    return rows.join(_roots(rows), "fp").select("doc_id", "row_key", "fp", "root")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Columns `doc_id`, `fingerprint` (16 lower-case hex digits) and `component_id`.
 
@@ -209,13 +223,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     `docs` are not read.
     """
     rows = write_shared(fingerprints(docs, doc_id, text), "fingerprints")
-    classes = write_shared(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
-    linked = components(near_pairs(classes.select("fp")))
-    rooted = classes.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "first_id", F.coalesce("root", "fp").alias("root")
-    )
-    smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    by_class = write_shared(rooted.join(smallest, "root").select("fp", "component_id"), "component-of")
+    roots = _roots(rows)
+    first = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    smallest = roots.join(first, "fp").groupBy("root").agg(F.min("first_id").alias("component_id"))
+    by_class = write_shared(roots.join(smallest, "root").select("fp", "component_id"), "component-of")
     return rows.join(by_class, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
