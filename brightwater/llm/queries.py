@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brightwater.llm import decontamination, language, mixing, quality, secret_scan, simhash_pivots, window_dedup
+from brightwater.llm import decontamination, language, mixing, quality, secret_scan, simhash_pivots, warc, window_dedup
 from brightwater.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(table(spark, sf_dir, "pages"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return window_dedup.remove_repeated_windows(table(spark, sf_dir, "documents"), with_text=False)
 
@@ -41,6 +45,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixing": op1_source_mixing,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
+    "op3_warc": op3_warc,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_quality_rules": op5_quality_rules,
     "op6_language_id": op6_language_id,
@@ -49,6 +54,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_warc": """
+WITH p AS (
+    SELECT page_id, coalesce(html, '') AS h FROM pages
+), q AS (
+    SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes, sha256(h) AS payload_digest,
+           min(page_id) OVER (PARTITION BY h) AS least
+    FROM p
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id IS DISTINCT FROM least AND least IS NOT NULL
+            THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id IS DISTINCT FROM least THEN least END AS refers_to
+FROM q
+""",
     "op4_substring_dedup": r"""
 WITH d AS (
     SELECT row_number() OVER () AS r, doc_id,
