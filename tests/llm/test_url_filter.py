@@ -1,0 +1,117 @@
+from __future__ import annotations
+
+import random
+import re
+
+from pyspark.sql import functions as F
+
+from brightwater.llm import url_filter
+from brightwater.llm.queries import QUERIES
+
+LOWER = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
+
+
+def parts(url):
+    if url is None or "://" not in url:
+        return "", ""
+    rest = url.split("://", 1)[1]
+    host = re.split("[/?#]", rest)[0]
+    return host.translate(LOWER), re.split("[?#]", rest[len(host) :])[0]
+
+
+def rule_of(host, path):
+    fits = [(o + p, v) for v, o, p in url_filter.RULES if (host == o or host.endswith("." + o)) and path.startswith(p)]
+    return max(fits, key=lambda r: len(r[0])) if fits else None
+
+
+def template(path):
+    found = []
+    for s in path.split("/"):
+        if s:
+            found.append("*" + (re.search(r"(\.[A-Za-z]{1,5})?\Z", s)[0]) if re.search("[0-9]", s) or len(s) > url_filter.LONG else s)
+    return tuple(found[: url_filter.DEPTH] + ["**"] if len(found) > url_filter.DEPTH else found)
+
+
+def brute(rows):
+    """Rule and verdict of each (page_id, url), with the whole tree in dictionaries."""
+    pages = [(i, *parts(u)) for i, u in rows]
+    counts = {}
+    for _, host, path in pages:
+        rule = rule_of(host, path)
+        kind = 2 if rule is None else int(rule[1] == "allow")
+        counts.setdefault((host, template(path)), [0, 0, 0])[kind] += 1
+    general = {key: () for key in counts}
+    for depth in range(url_filter.DEPTH + 1):
+        fan = {}
+        for (host, t), g in general.items():
+            if len(t) > depth:
+                fan.setdefault((host, g), set()).add(t[depth])
+        general = {
+            (host, t): g if len(t) <= depth else (*g, "*" if len(fan[host, g]) > url_filter.FAN_OUT else t[depth])
+            for (host, t), g in general.items()
+        }
+    nodes = {}
+    for key, g in general.items():
+        node = nodes.setdefault((key[0], g), [0, 0, 0])
+        for k in range(3):
+            node[k] += counts[key][k]
+    siblings = {}
+    for (host, g), n in nodes.items():
+        siblings.setdefault((host, g[:-1], len(g)), []).append((n[0] / sum(n), n[1] / sum(n), g, n))
+    purity = {}
+    for (host, _, _), members in siblings.items():
+        branches, last = [], None
+        for *_, g, n in sorted(members, key=lambda m: (m[0], m[1], m[2])):
+            if last is not None:
+                a, b = sum(n), sum(last)
+                chi = sum((x * b - y * a) ** 2 / ((x + y) * a * b) for x, y in zip(n, last) if x + y)
+            if last is None or chi > url_filter.SAME_BELOW:
+                branches.append([])
+            branches[-1].append((g, n))
+            last = n
+        for branch in branches:
+            blocked, allowed = (sum(n[k] for _, n in branch) for k in (0, 1))
+            for g, _ in branch:
+                purity[host, g] = (blocked + 1) / (blocked + allowed + 2)
+    out = []
+    for page_id, host, path in pages:
+        rule = rule_of(host, path)
+        reject = purity[host, general[host, template(path)]] >= url_filter.REJECT
+        out.append((page_id, host, path, rule and rule[0], rule[1] if rule else ("block" if reject else "allow")))
+    return sorted(out, key=str)
+
+
+def result(df):
+    return sorted((tuple(r)[:5] for r in df.collect()), key=str)
+
+
+def test_equals_brute_force_on_whole_table(spark):
+    data = "/root/testdata/sf0.1"
+    rows = [tuple(r) for r in spark.read.parquet(f"{data}/pages.parquet").select("page_id", "url").collect()]
+    expected = brute(rows)
+    assert result(QUERIES["op7_url_filters"](spark, data)) == expected
+    assert {row[3] for row in expected} == {"net/", "example.net/en/", "example.com/de/", "org/fr/", None}
+
+
+def test_trees_generalise_merge_and_reject(spark):
+    draw = random.Random(3)
+    rows = []
+    for i in range(1500):
+        host = draw.choice(["a.example.com", "B.Example.COM", "x.org", "y.net", "z.io"])
+        path = "/".join(draw.choice(["de", "en", "fr", "shop", "12", f"item{draw.randrange(9)}.html", draw.choice("abcdefghijklmnopqrstuvwxyz") * 3]) for _ in range(draw.randint(0, 8)))
+        rows.append((i, f"https://{host}/{path}{draw.choice(['', '/', '?q=1', '#x'])}"))
+    expected = brute(rows)
+    assert result(url_filter.filter_urls(spark.createDataFrame(rows, "page_id bigint, url string"))) == expected
+    assert {v for *_, rule, v in expected if rule is None} == {"allow", "block"} or len(expected) == 1500
+
+
+def test_odd_rows(spark):
+    rows = [
+        (1, None), (2, ""), (3, "example.net/en/1"), (4, "http://"), (5, "http://net"), (6, "http://NET/"), (7, "HTTP://Éx.NET?a/b"),
+        (8, "a://b://c.net/d"), (9, "http://badexample.com/de/1"), (10, "http://example.com/de/"), (10, "http://example.com/de/"),
+        (None, "http://example.com/de"), (11, "http://h.org#/fr/1"), (12, "http://h.org/fr/\nx?y"), (13, "http://u/" + "s/" * 3000),
+        (14, "http://u/" + "x" * 100_000), (15, "http://example.net./en/"),
+    ]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string").select("*", F.lit(1).alias("host"), F.lit(2).alias("verdict"))
+    assert result(url_filter.filter_urls(pages)) == brute(rows)
+    assert result(url_filter.filter_urls(pages.limit(0))) == []
