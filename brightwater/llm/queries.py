@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brightwater.llm import decontamination, language, mixing, quality, secret_scan, simhash_pivots, url_filter, warc, window_dedup
+from brightwater.llm import decontamination, language, license_scan, mixing, quality, secret_scan, simhash_pivots, url_filter, warc, window_dedup
 from brightwater.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.find_licenses(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_pivots.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_rules": op5_quality_rules,
     "op6_language_id": op6_language_id,
     "op7_url_filters": op7_url_filters,
+    "op8_license_scan": op8_license_scan,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_secret_scan": op10_secret_scan,
 }
