@@ -21,14 +21,36 @@ _LOW_MASK = (1 << _LOW_BITS) - 1
 UNIT = Decimal("0.0001")
 
 
+# Amounts and percents beyond these could leave a bigint when multiplied.
+_MOST_CENTS = 1e14
+_MOST_PERCENT = 1e4
+
+
+def _hundredths(value: Column, most: float) -> tuple[Column, Column]:
+    """Whole hundredths as a double, and whether `value` is that many and no more than `most`.
+
+    NaN is larger than any number in comparisons, so it is out of range.
+    """
+    whole = F.rint(value * 100)
+    return whole, (whole / 100 == value) & (F.abs(whole) <= most)
+
+
 def discounted_units(price: Column, discount: Column) -> Column:
-    """`price * (1 - discount)` in ten-thousandths, as a bigint.
+    """`price * (1 - discount)` in ten-thousandths, as a bigint; null if either is.
 
-    Prices are taken to the nearest cent and discounts to the nearest percent.
+    Prices must be whole cents and discounts whole percents. Any other value,
+    NaN and amounts beyond 10**14 cents raise an error, in ANSI mode or not,
+    since rounding them would lose digits unseen.
     """
-    cents = F.rint(price * 100).cast("bigint")
-    percent = F.rint(discount * 100).cast("bigint")
-    return cents * (F.lit(100).cast("bigint") - percent)
+    cents, cents_exact = _hundredths(price, _MOST_CENTS)
+    percent, percent_exact = _hundredths(discount, _MOST_PERCENT)
+    units = cents.cast("bigint") * (F.lit(100).cast("bigint") - percent.cast("bigint"))
+    wrong = F.concat(
+        F.lit("not whole cents and percents in range: price "), price.cast("string"), F.lit(", discount "), discount.cast("string")
+    )
+    return F.when(cents_exact & percent_exact, units).when(
+        price.isNotNull() & discount.isNotNull(), F.raise_error(wrong).cast("bigint")
+    )
 
 
 def high_part(units: Column) -> Column:

@@ -8,6 +8,7 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 ROOT = Path(__file__).resolve().parents[1]
 sys.path.insert(0, str(ROOT))
@@ -41,6 +42,39 @@ def test_query_equals_oracle(spark, name, sf):
     assert sorted(rows) == sorted(expected.fetchall())
 
 
+def plain_sums(data_dir: str):
+    """Double sums of the values as they are, which share no rounding with the oracle."""
+    con = duckdb.connect()
+    for table in TABLES:
+        con.execute(f"CREATE VIEW {table} AS FROM '{data_dir}/{table}.parquet'")
+    return con.execute(
+        "SELECT r_name, sum(l_extendedprice * (1 - l_discount)), count(*) FROM lineitem JOIN supplier ON l_suppkey = s_suppkey "
+        "JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name"
+    ).fetchall()
+
+
+@pytest.mark.parametrize("name", contract.core_queries())
+def test_query_equals_sums_without_rounding(spark, name):
+    data_dir = "/root/testdata/sf0.1"
+    got = {r["r_name"]: (r["revenue"], r["n"]) for r in contract.core_queries()[name](spark, data_dir).collect()}
+    plain = plain_sums(data_dir)
+    assert got.keys() == {r[0] for r in plain}
+    for region, revenue, n in plain:
+        assert got[region][1] == n
+        assert abs(float(got[region][0]) - revenue) < 0.01
+
+
+@pytest.mark.parametrize("name", contract.core_queries())
+def test_a_discount_off_the_grid_is_not_rounded_away(spark, tmp_path, name):
+    for table in TABLES:
+        source = spark.read.parquet(f"/root/testdata/sf0.001/{table}.parquet")
+        if table == "lineitem":
+            source = source.withColumn("l_discount", F.lit(0.125))
+        source.write.parquet(str(tmp_path / f"{table}.parquet"))
+    with pytest.raises(Exception, match="not whole cents and percents"):
+        contract.core_queries()[name](spark, str(tmp_path)).collect()
+
+
 def test_types_equal_oracle(spark):
     types = ["string", "decimal(38,4)", "bigint"]
     for name, query in contract.core_queries().items():

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 from collections import defaultdict
+from decimal import Decimal
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -99,8 +100,83 @@ def test_fits_broadcast(spark):
     assert not fits_broadcast(numbers, 0)
 
 
-def test_strings_prove_no_bound(spark):
-    assert not fits_broadcast(spark.createDataFrame([(1, "a")], "k bigint, g string"))
+def test_strings_are_bounded_by_the_longest(spark):
+    rows = [(i, "x" * (i % 40), Decimal(i)) for i in range(100)]
+    lookup = spark.createDataFrame(rows, "k bigint, g string, d decimal(30,2)")
+    row = 128 + 3 * 16 + 16 + 39 + 8
+    assert fits_broadcast(lookup, TABLE_BYTES + 100 * row)
+    assert not fits_broadcast(lookup, TABLE_BYTES + 100 * row - 1)
+    assert not fits_broadcast(spark.createDataFrame([(1, ["a"])], "k bigint, g array<string>"))
+    assert fits_broadcast(spark.createDataFrame([], "k bigint, g string"))
+
+
+def explained(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_small_string_lookup_leaves_the_facts_where_they_are(spark):
+    facts = spark.range(1000).select((F.col("id") % 3).alias("k"), F.col("id").alias("m"))
+    lookup = spark.createDataFrame([(0, "a"), (1, "b"), (2, None)], "k bigint, g string")
+    small = sum_through_lookup(facts, lookup, "k", "g", ["m"])
+    assert "BroadcastHashJoin" in explained(small) and "SortMergeJoin" not in explained(small)
+    large = sum_through_lookup(facts, lookup, "k", "g", ["m"], TABLE_BYTES + 3 * (160 + 8))
+    assert "SortMergeJoin" in explained(large) and "BroadcastHashJoin" not in explained(large)
+    assert sorted(small.collect(), key=str) == sorted(large.collect(), key=str)
+
+
+def jobs_of(spark, build) -> int:
+    group = f"jobs-{build.__name__}-{id(build)}"
+    spark.sparkContext.setJobGroup(group, group)
+    build()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_derived_lookup_is_not_evaluated_to_be_counted(spark):
+    facts = spark.range(100).select((F.col("id") % 3).alias("k"), F.col("id").alias("m"))
+    derived = spark.range(100).groupBy((F.col("id") % 3).alias("k")).agg(F.max("id").alias("g"))
+    found = {}
+
+    def unknown():
+        found["merge"] = sum_through_lookup(facts, derived, "k", "g", ["m"])
+
+    def bounded():
+        found["broadcast"] = sum_through_lookup(facts, derived, "k", "g", ["m"], max_rows=3)
+
+    assert jobs_of(spark, unknown) == 0 and jobs_of(spark, bounded) == 0
+    assert "SortMergeJoin" in explained(found["merge"]) and "BroadcastHashJoin" in explained(found["broadcast"])
+    assert sorted(found["merge"].collect()) == sorted(found["broadcast"].collect())
+
+
+TYPES = {"int": (9, 0), "bigint": (15, 0), "decimal(12,2)": (9, 2), "decimal(30,8)": (20, 8)}
+
+
+@pytest.mark.parametrize("kind", TYPES)
+@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+@given(data=st.data())
+def test_type_and_value_do_not_depend_on_the_strategy(spark, kind, data):
+    digits, scale = TYPES[kind]
+    measure = st.one_of(st.none(), st.integers(-(10**digits), 10**digits))
+    facts = data.draw(st.lists(st.tuples(keys, measure), max_size=30))
+    lookup = data.draw(st.lists(st.tuples(keys, groups), max_size=12))
+    cast = (lambda m: m) if not kind.startswith("decimal") else (lambda m: m if m is None else Decimal(m).scaleb(-scale))
+    facts = spark.createDataFrame([(k, cast(m)) for k, m in facts], f"k bigint, m {kind}").repartition(3)
+    lookup = spark.createDataFrame(lookup, "k bigint, g int")
+    got = [sum_through_lookup(facts, lookup, "k", "g", ["m"], limit) for limit in LIMITS.values()]
+    assert got[0].dtypes == got[1].dtypes == [("g", "int"), *facts.agg(F.sum("m").alias("m")).dtypes]
+    assert sorted(got[0].collect(), key=str) == sorted(got[1].collect(), key=str)
+
+
+def test_floats_and_clashing_names_are_rejected(spark):
+    lookup = spark.createDataFrame([(1, 1)], "k bigint, g int")
+    for kind in ("float", "double"):
+        with pytest.raises(TypeError, match=f"m is {kind}"):
+            sum_through_lookup(spark.createDataFrame([(1, 1.0)], f"k bigint, m {kind}"), lookup, "k", "g", ["m"])
+    facts = spark.createDataFrame([(1, 2, 3)], "k bigint, g bigint, m bigint")
+    with pytest.raises(ValueError, match="names of their own"):
+        sum_through_lookup(facts, lookup, "k", "g", ["g"])
+    for limit in LIMITS.values():
+        assert sum_through_lookup(facts, lookup, "k", "g", ["k", "m"], limit).collect() == [(1, 1, 3)]
 
 
 def test_empty_lookup_is_not_broadcast_when_broadcasting_is_off(spark):

@@ -54,10 +54,25 @@ def test_sum_beyond_bigint_is_exact(spark):
     assert total(df, units) == 200_000 * price * Decimal("0.93")
 
 
-def test_values_go_to_nearest_cent_and_percent(spark):
-    df = spark.createDataFrame([(1.2349, 0.0), (1.0, 0.0651)], "price double, discount double")
+@pytest.mark.parametrize("ansi", ["true", "false"])
+@pytest.mark.parametrize(
+    "price, discount",
+    [(1.2349, 0.0), (1.0, 0.125), (1.0, 0.0651), (float("nan"), 0.0), (1.0, float("nan")), (1e300, 0.0), (1e13, 0.0), (float("-inf"), 0.0), (1.0, 1e9)],
+)
+def test_values_off_the_grid_or_out_of_range_raise(spark, conf, ansi, price, discount):
+    conf("spark.sql.ansi.enabled", ansi)
+    df = spark.createDataFrame([(1.0, 0.1), (price, discount)], "price double, discount double")
     units = discounted_units(F.col("price"), F.col("discount"))
-    assert [r[0] for r in df.select(units).collect()] == [12300, 9300]
+    with pytest.raises(Exception, match="not whole cents and percents"):
+        df.select(units).collect()
+
+
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_nulls_stay_null_whatever_the_other_value(spark, conf, ansi):
+    conf("spark.sql.ansi.enabled", ansi)
+    df = spark.createDataFrame([(None, 0.125), (1.2349, None), (None, None)], "price double, discount double")
+    units = discounted_units(F.col("price"), F.col("discount"))
+    assert [r[0] for r in df.select(units).collect()] == [None] * 3
 
 
 def test_null_amounts_are_left_out(spark):
