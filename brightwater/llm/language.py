@@ -33,6 +33,8 @@ PIECE = 500
 HELD_OUT = 2
 UNKNOWN = "und"
 _STRETCH = 256
+#: Bytes of text that are worked on at once.
+_SLICE_BYTES = 1 << 20
 _SPACE, _OTHER = 0, 1  # no letter; a letter that no sample has
 
 
@@ -140,7 +142,7 @@ def phrases(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     size = np.minimum(lengths[owner] - number * _STRETCH, _STRETCH)
     counts = np.zeros((len(texts), len(model.languages)), np.int64)
     padded = np.concatenate([codes, np.zeros(_STRETCH, codes.dtype)])
-    at_once = 8192
+    at_once = 4096
     for low in range(0, len(owner), at_once):
         part = slice(low, low + at_once)
         grid = padded[begin[part][:, None] + np.arange(_STRETCH)]
@@ -161,7 +163,7 @@ def phrases(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def predict(model: Model, texts: pa.Array) -> tuple[list[str], np.ndarray]:
     """Language and score of each text; see `identify`."""
     names, scores = [], []
-    for _, part in tokens.slices(texts):
+    for _, part in tokens.slices(texts, _SLICE_BYTES):
         counts, has_letter = phrases(model, part)
         cost = counts * model.bits
         for d in range(len(part)):
