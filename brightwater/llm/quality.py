@@ -28,6 +28,8 @@ MIN_WORDS = 50
 #: Largest share of words in repeated three-word windows, in percent.
 MAX_REPEAT_PERCENT = 50
 
+#: Bytes of text that are worked on at once; each n-gram takes some numbers of 8 bytes.
+_SLICE_BYTES = 1 << 20
 _BUCKETS = 1 << 15
 _WORD_GRAMS = (1, 2)
 _CHAR_GRAMS = (3, 4)
@@ -118,7 +120,7 @@ def _features(batches):
     """Frequencies of a document's n-grams as a sparse vector."""
     for batch in batches:
         rows = {"index": [], "value": []}
-        for _, part in tokens.slices(batch.column("text")):
+        for _, part in tokens.slices(batch.column("text"), _SLICE_BYTES):
             words = tokens.split(part)
             hashes = tokens.word_hashes(words)
             index, value = [[] for _ in range(len(part))], [[] for _ in range(len(part))]
@@ -139,14 +141,14 @@ class _Rows:
     def __init__(self, index, value):
         lengths = np.array([len(x) for x in index])
         self.index, self.value = np.concatenate(index), np.concatenate(value)
-        self.row = np.repeat(np.arange(len(index)), lengths)
+        self.row = np.repeat(np.arange(len(index), dtype=np.int32), lengths)
         self.n = len(index)
 
     def times(self, weights):
-        return np.bincount(self.row, self.value * weights[self.index], self.n)
+        return np.bincount(self.row, self.value * weights.astype(np.float32)[self.index], self.n)
 
     def transposed_times(self, errors):
-        return np.bincount(self.index, self.value * errors[self.row], _BLOCKS * _BUCKETS)
+        return np.bincount(self.index, self.value * errors.astype(np.float32)[self.row], _BLOCKS * _BUCKETS)
 
 
 def _fit(rows: _Rows, target: np.ndarray) -> tuple[np.ndarray, float]:
@@ -215,8 +217,10 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS)
     held = np.zeros(len(target), bool)
     for c in (0, 1):
         held[np.flatnonzero(target == c)[::4]] = True
-    weights, bias = _fit(_Rows([index[i] for i in np.flatnonzero(~held)], [value[i] for i in np.flatnonzero(~held)]), target[~held])
-    score = _Rows([index[i] for i in np.flatnonzero(held)], [value[i] for i in np.flatnonzero(held)]).times(weights) + bias
+    fitted, calibrated = (_Rows([index[i] for i in at], [value[i] for i in at]) for at in (np.flatnonzero(~held), np.flatnonzero(held)))
+    del rows, index, value
+    weights, bias = _fit(fitted, target[~held])
+    score = calibrated.times(weights) + bias
     of_class = {c: share[c] / (target[held] == c).sum() for c in (0, 1)}
     slope, intercept = _calibrate(score, target[held], np.where(target[held] == 1, of_class[1], of_class[0]) * held.sum() / sum(share.values()))
     return Model(weights.astype(np.float32), bias, slope, intercept)
@@ -227,7 +231,7 @@ def _judged(model: Model | None, threshold: float, keep: str):
         for batch in batches:
             out = {name: [] for name in COUNTS}
             probability = []
-            for _, part in tokens.slices(batch.column("text")):
+            for _, part in tokens.slices(batch.column("text"), _SLICE_BYTES):
                 words = tokens.split(part)
                 hashes = tokens.word_hashes(words)
                 for name, values in _count(part, words, hashes).items():
