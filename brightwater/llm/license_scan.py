@@ -7,6 +7,9 @@
    with enough equal words in a row and few enough differences between the
    first and the last of them is confirmed; of those, the license is the one
    with the most equal words less differences, or else the larger saving.
+4. Templates of up to `SHORT` words, and one-line notices ("released under"
+   and the name of a license, or an SPDX identifier), are confirmed by all
+   their words in a row. Comment marks between words do not count.
 """
 
 from __future__ import annotations
@@ -21,9 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brightwater.llm.common import map_arrow
+from brightwater.llm.license_names import notices
 
 # Cue words, and public license notices.
-CUES = r"(?i)licen[sc]e|copyright|\bspdx|permission is hereby|redistribution and use|public domain"
+CUES = (
+    r"(?i)licen[sc]e|copyright|\bspdx|permission is hereby|redistribution and use|public domain"
+    r"|\b(?:released|distributed|available|published|provided|offered)(?:\s+to\s+you)?\s+under\b|creative commons|general public"
+)
 TEMPLATES = {
     "Apache-2.0": (
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. '
@@ -51,6 +58,30 @@ TEMPLATES = {
         "the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A "
         "PARTICULAR PURPOSE. See the GNU General Public License for more details."
     ),
+    "GPL-2.0-or-later": (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published "
+        "by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in "
+        "the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A "
+        "PARTICULAR PURPOSE. See the GNU General Public License for more details."
+    ),
+    "LGPL-2.1-or-later": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as "
+        "published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is "
+        "distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS "
+        "FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details."
+    ),
+    "LGPL-3.0-or-later": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as "
+        "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is "
+        "distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS "
+        "FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details."
+    ),
+    "AGPL-3.0-or-later": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as "
+        "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is "
+        "distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS "
+        "FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details."
+    ),
     "MPL-2.0": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with "
         "this file, You can obtain one at https://mozilla.org/MPL/2.0/."
@@ -73,6 +104,8 @@ LOOKED_AT = 4
 #: Equal words in a row, and differences per equal word, of a license.
 LEAST_EQUAL = 6
 MOST_DIFFERENCES = 0.15
+#: Words of a template that is confirmed by all of them only.
+SHORT = 15
 
 _LEVEL = 19
 _NOT_IN_WORD = re.compile(r"[^\w.+-]+")
@@ -84,7 +117,8 @@ def _plain(words: list[str]) -> list[str]:
 
 
 class Scanner:
-    def __init__(self, templates: dict[str, str]):
+    def __init__(self, templates: dict[str, str], with_notices: bool = True):
+        self.with_notices = with_notices
         self.cue = re.compile(CUES)
         self.alone = zstandard.ZstdCompressor(level=_LEVEL)
         self.templates = {}
@@ -115,7 +149,7 @@ class Scanner:
         """Savings of the templates, best first; equal ones by name."""
         data = " ".join(words).encode()
         size = len(self.alone.compress(data))
-        saved = [(size - len(packer.compress(data)), name) for name, (_, packer) in self.templates.items()]
+        saved = [(size - len(packer.compress(data)), name) for name, (template, packer) in self.templates.items() if len(template) > SHORT]
         return sorted(((n / size, name) for n, name in saved if n >= LEAST_SAVED), key=lambda s: (-s[0], s[1]))
 
     def confirmed(self, words: list[str], name: str) -> tuple[int, int, int, int] | None:
@@ -137,6 +171,23 @@ class Scanner:
                     best = equal, first.a, end_a - first.a, differences
         return best
 
+    def whole(self, plain: list[str]) -> list[tuple[str, int, int]]:
+        """Name, first word and end of one-line notices and of short templates with all their words."""
+        at = [i for i, w in enumerate(plain) if w]
+        words = [plain[i] for i in at]
+        out = list(notices(plain)) if self.with_notices else []
+        for name, (template, _) in self.templates.items():
+            n = len(template)
+            if n <= SHORT:
+                out += [(name, at[i], at[i + n - 1] + 1) for i in range(len(words) - n + 1) if words[i] == template[0] and words[i : i + n] == template]
+        return out
+
+    def saving(self, data: bytes, words: list[str]) -> float:
+        """Share of the bytes of a block that `words` save as its dictionary."""
+        raw = zstandard.ZstdCompressionDict(" ".join(words).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        size = len(self.alone.compress(data))
+        return (size - len(zstandard.ZstdCompressor(level=_LEVEL, dict_data=raw).compress(data))) / size
+
     def scan(self, text: str) -> list[tuple[str, int, int, int, float]]:
         found = []
         for begin, words in self.blocks(text):
@@ -145,11 +196,19 @@ class Scanner:
             for saving, name in self.ranked(plain)[:LOOKED_AT]:
                 span = self.confirmed(plain, name)
                 if span is not None and (best is None or span[0] - span[3] > best[0]):
-                    best = span[0] - span[3], name, begin + span[1], span[2], span[3], saving
-            if best is not None:
-                _, name, start, n, _, _ = best
+                    best = span[0] - span[3], name, span[1], span[2], span[3], saving
+            rows = [] if best is None else [best]
+            data = " ".join(plain).encode()
+            for name, start, end in self.whole(plain):
+                equal = sum(map(bool, plain[start:end]))
+                meets = [r for r in rows if r[2] < end and start < r[2] + r[3]]
+                if all(equal > r[0] for r in meets):
+                    rows = [r for r in rows if r not in meets]
+                    rows.append((equal, name, start, end - start, 0, self.saving(data, [w for w in plain[start:end] if w])))
+            for _, name, start, n, differences, saving in rows:
+                start += begin
                 if not any(f[0] == name and f[1] < start + n and start < f[1] + f[2] for f in found):
-                    found.append(best[1:])
+                    found.append((name, start, n, differences, saving))
         return found
 
 
@@ -161,7 +220,7 @@ _FOUND = pa.schema(
 def find_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: dict[str, str] | None = None) -> DataFrame:
     """Columns `doc_id`, `license`, `start_word` (from 0), `n_words`, `differences` and `saving`; a row per license found.
 
-    Null and empty texts and those without a cue word have no row. A text may
+    One-line notices are looked for unless `templates` are given. Null and empty texts and those without a cue word have no row. A text may
     hold several licenses, or one more than once. Null ids are reported with
     it, repeated rows repeatedly. An empty table gives no rows. Other columns
     are not read.
@@ -170,7 +229,7 @@ def find_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t
     given = TEMPLATES if templates is None else templates
 
     def per_batch(batches):
-        scanner = Scanner(given)
+        scanner = Scanner(given, with_notices=templates is None)
         for batch in batches:
             out = {f.name: [] for f in _FOUND}
             for number, content in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
