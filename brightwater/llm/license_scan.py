@@ -6,10 +6,13 @@
 3. The words of the block and of the best templates are aligned. A template
    with enough equal words in a row and few enough differences between the
    first and the last of them is confirmed; of those, the license is the one
-   with the most equal words less differences, or else the larger saving.
+   with the most equal words less differences, then the larger share of its
+   template, then the larger saving.
 4. Templates of up to `SHORT` words, and one-line notices ("released under"
    and the name of a license, or an SPDX identifier), are confirmed by all
    their words in a row. Comment marks between words do not count.
+5. The words before and after a license are looked at again in the same way,
+   until nothing more is confirmed.
 """
 
 from __future__ import annotations
@@ -98,9 +101,8 @@ TEMPLATES = {
 #: Words of a block before and after a cue, and in a block at most.
 BEFORE, AFTER = 30, 60
 BLOCK, OVERLAP = 600, 150
-#: Bytes that a template must save to be looked at, and how many are.
+#: Bytes that a template must save to be looked at.
 LEAST_SAVED = 12
-LOOKED_AT = 4
 #: Equal words in a row, and differences per equal word, of a license.
 LEAST_EQUAL = 6
 MOST_DIFFERENCES = 0.15
@@ -188,28 +190,43 @@ class Scanner:
         size = len(self.alone.compress(data))
         return (size - len(zstandard.ZstdCompressor(level=_LEVEL, dict_data=raw).compress(data))) / size
 
+    def best(self, plain: list[str], whole: list[tuple[str, int, int]], low: int, high: int) -> tuple | None:
+        """Score, name, first word, end, differences and saving of the best license between two words of a block."""
+        part = plain[low:high]
+        found = []
+        if len(part) >= LEAST_EQUAL:
+            for saving, name in self.ranked(part):
+                span = self.confirmed(part, name)
+                if span is not None:
+                    equal, first, n, differences = span
+                    score = equal - differences, equal / len(self.templates[name][0])
+                    found.append((*score, saving, name, low + first, low + first + n, differences))
+        top = max(found, key=lambda f: f[:3], default=None)
+        one_line = [(sum(map(bool, plain[a:b])), name, a, b) for name, a, b in whole if low <= a and b <= high]
+        equal, name, a, b = max(one_line, key=lambda f: f[0], default=(0, None, 0, 0))
+        if name is not None and (top is None or equal > top[0]):
+            return equal, name, a, b, 0, self.saving(" ".join(part).encode(), [w for w in plain[a:b] if w])
+        return top and (top[0], top[3], top[4], top[5], top[6], top[2])
+
     def scan(self, text: str) -> list[tuple[str, int, int, int, float]]:
         found = []
         for begin, words in self.blocks(text):
             plain = _plain(words)
-            best = None
-            for saving, name in self.ranked(plain)[:LOOKED_AT]:
-                span = self.confirmed(plain, name)
-                if span is not None and (best is None or span[0] - span[3] > best[0]):
-                    best = span[0] - span[3], name, span[1], span[2], span[3], saving
-            rows = [] if best is None else [best]
-            data = " ".join(plain).encode()
-            for name, start, end in self.whole(plain):
-                equal = sum(map(bool, plain[start:end]))
-                meets = [r for r in rows if r[2] < end and start < r[2] + r[3]]
-                if all(equal > r[0] for r in meets):
-                    rows = [r for r in rows if r not in meets]
-                    rows.append((equal, name, start, end - start, 0, self.saving(data, [w for w in plain[start:end] if w])))
-            for _, name, start, n, differences, saving in rows:
-                start += begin
-                if not any(f[0] == name and f[1] < start + n and start < f[1] + f[2] for f in found):
-                    found.append((name, start, n, differences, saving))
-        return found
+            whole = self.whole(plain)
+            left = [(0, len(plain))]
+            while left:
+                low, high = left.pop()
+                best = self.best(plain, whole, low, high)
+                if best is None:
+                    continue
+                score, name, start, end, differences, saving = best
+                left += [(a, b) for a, b in ((low, start), (end, high)) if a < b]
+                # parts of a long block overlap: of what both show, the better one stays
+                meets = [f for f in found if f[2] < begin + end and begin + start < f[2] + f[3]]
+                if all(score > f[0] for f in meets):
+                    found = [f for f in found if f not in meets]
+                    found.append((score, name, begin + start, end - start, differences, saving))
+        return [f[1:] for f in sorted(found, key=lambda f: f[2])]
 
 
 _FOUND = pa.schema(
@@ -222,7 +239,8 @@ def find_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t
 
     One-line notices are looked for unless `templates` are given. Null and empty texts and those without a cue word have no row. A text may
     hold several licenses, or one more than once. Null ids are reported with
-    it, repeated rows repeatedly. An empty table gives no rows. Other columns
+    it, repeated rows repeatedly. A notice with more differences than allowed is
+    found in the parts that have few enough. An empty table gives no rows. Other columns
     are not read.
     """
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where(F.col("text").rlike(CUES))

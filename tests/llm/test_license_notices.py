@@ -54,3 +54,22 @@ def test_gnu_wordings_are_told_apart():
 
 def test_words_that_only_look_like_notices():
     assert notices("licensed under zero conditions and mittens".split()) == []
+
+
+def test_several_licenses_close_together():
+    t = license_scan.TEMPLATES
+    assert names(f"{t['MIT']} or else {t['Apache-2.0']}") == ["MIT", "Apache-2.0"]
+    assert names("Licensed under the MIT License and the Apache License, Version 2.0.") == ["MIT", "Apache-2.0"]
+    # a notices file, each license once more after the others
+    order = [n for n in t] * 2
+    text = " ".join(f"Part {i}, copyright by maker{i}. {t[n]}" for i, n in enumerate(order))
+    rows = license_scan.Scanner(t).scan(text)
+    assert [r[0] for r in rows] == order
+    words = text.split()
+    for (_, start, n, differences, _), name in zip(rows, order):
+        assert differences == 0 and words[start : start + n] == t[name].split()
+
+
+def test_many_one_line_notices_in_one_block():
+    lines = list(LINES) * 12
+    assert names(" ".join(lines)) == [LINES[line] for line in lines]
