@@ -5,8 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
-from brightwater.llm import decontamination, language, license_scan, mixing, quality, secret_scan, simhash_pivots, url_filter, warc, window_dedup
+from pyspark.sql import functions as F
+
+from brightwater.llm import (
+    decontamination,
+    language,
+    license_scan,
+    mixing,
+    quality,
+    refinement,
+    secret_scan,
+    simhash_pivots,
+    url_filter,
+    warc,
+    window_dedup,
+)
 from brightwater.llm.common import table
 
 
@@ -50,6 +63,11 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+    return refinement.mark_copies(table(spark, sf_dir, "documents"), carry={"text_sha256": digest})
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixing": op1_source_mixing,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
@@ -61,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_secret_scan": op10_secret_scan,
+    "op11_exact_dedup": op11_exact_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -100,5 +119,11 @@ WITH d AS (
 SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words,
        CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM d LEFT JOIN kept ON d.r = kept.r
+""",
+    "op11_exact_dedup": """
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
+       coalesce(doc_id = max(doc_id) OVER g, true) AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents
+WINDOW g AS (PARTITION BY coalesce(text, ''))
 """,
 }
