@@ -16,6 +16,7 @@ from brightwater.llm import (
     refinement,
     secret_scan,
     simhash_pivots,
+    spelling_variants,
     url_filter,
     warc,
     window_dedup,
@@ -68,6 +69,10 @@ def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return refinement.mark_copies(table(spark, sf_dir, "documents"), carry={"text_sha256": digest})
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixing": op1_source_mixing,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
@@ -80,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_secret_scan": op10_secret_scan,
     "op11_exact_dedup": op11_exact_dedup,
+    "op12_spelling_variants": op12_spelling_variants,
 }
 
 ORACLE_SQL: dict[str, str] = {
