@@ -18,10 +18,12 @@ from brightwater.llm import (
     simhash_pivots,
     spelling_variants,
     url_filter,
+    vector_codes,
     warc,
     window_dedup,
 )
 from brightwater.llm.common import table
+from brightwater.llm.vector_codes_sql import compress_sql
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,6 +75,10 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants.variants(table(spark, sf_dir, "documents"))
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixing": op1_source_mixing,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
@@ -86,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_secret_scan": op10_secret_scan,
     "op11_exact_dedup": op11_exact_dedup,
     "op12_spelling_variants": op12_spelling_variants,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -132,4 +139,5 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
 FROM documents
 WINDOW g AS (PARTITION BY coalesce(text, ''))
 """,
+    "op13_vector_codes": compress_sql(),
 }
