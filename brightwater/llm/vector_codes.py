@@ -36,6 +36,8 @@ SCALE = 1024
 BOUND = 1 << 27
 #: Vectors whose candidates are expanded at once.
 SLICE = 512
+#: Below this, products of doubles are exact whole numbers, up to 1024 dimensions.
+_EXACT = 1 << 20
 
 
 class Codebook:
@@ -53,6 +55,8 @@ class Codebook:
         for d in range(dims):
             np.bitwise_or.accumulate(own[order[:, d]], axis=0, out=self.prefix[d, 1:])
         self.every = np.bitwise_or.reduce(own, axis=0)
+        self.small = dims <= 1024 and np.abs(entries).max(initial=0) < _EXACT
+        self.norms = (entries**2).sum(axis=1)
         self.radius = self._first_radius()
         #: the dimension in which entries differ most, for a first guess
         self.widest = int(np.argmax(np.ptp(entries, axis=0))) if dims else None
@@ -77,10 +81,23 @@ class Codebook:
         return mask
 
     def best_of(self, x: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Nearest of the masked entries, the least index of equal ones, and its squared distance; -1 where there is none."""
+        """Nearest of the masked entries, the least index of equal ones, and its squared distance; -1 where there is none.
+
+        Where many are masked the distances of a slice come from one product of matrices.
+        """
         index, far = np.full(len(x), -1), np.full(len(x), -1, np.int64)
         for begin in range(0, len(x), SLICE):
             bits = np.unpackbits(mask[begin : begin + SLICE].view(np.uint8), axis=1, bitorder="little")
+            part = x[begin : begin + SLICE]
+            if self.small and np.abs(part).max(initial=0) < _EXACT and 16 * np.count_nonzero(bits) > bits.size:
+                squared = (part**2).sum(axis=1)[:, None] - 2 * (part.astype(float) @ self.entries.T.astype(float)) + self.norms
+                squared[bits[:, : len(self.entries)] == 0] = np.inf
+                nearest = squared.argmin(axis=1)
+                least = squared[np.arange(len(part)), nearest]
+                some = np.isfinite(least)
+                index[begin : begin + SLICE][some] = nearest[some]
+                far[begin : begin + SLICE][some] = least[some].astype(np.int64)
+                continue
             row, entry = np.nonzero(bits)
             if not len(row):
                 continue
