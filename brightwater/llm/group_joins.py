@@ -20,16 +20,17 @@ def _joined(rows: DataFrame, groups: DataFrame, keys: list[str], how: str) -> Da
     return rows.join(right, same, how).select(*rows.columns, *others)
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, how: str = "inner") -> DataFrame:
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, how: str = "inner", total: int | None = None) -> DataFrame:
     """`rows` with the other columns of `groups`, which has one row per key and its number of rows in `size`.
 
     Nulls in keys are equal. Hot groups are broadcast, fewer than `HOT_SHARE`
     rows whatever the data. Only rows of other groups are shuffled, so that no
     task gets more than a thousandth of all rows for one key. `how` is inner or
-    left. Both tables are read several times, so they should be written ones.
+    left. Both tables are read several times, so they should be written ones;
+    `total`, the number of rows, saves counting them where it is known.
     Columns of `groups` need a bounded width and names that `rows` does not have.
     """
-    is_hot = F.col(size) * HOT_SHARE > F.lit(rows.count())
+    is_hot = F.col(size) * HOT_SHARE > F.lit(rows.count() if total is None else total)
     hot = write_shared(groups.where(is_hot), "hot-groups")
     if hot.isEmpty():
         return _joined(rows, groups, keys, how)

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brightwater.llm.bitmaps import bitmap_of, marked
 from brightwater.llm.common import write_shared
 from brightwater.llm.group_joins import join_groups
 
@@ -20,32 +21,11 @@ PREFIX = 256
 #: Bits of the survivors' bitmaps.
 LENGTH_BITS = 1 << 22
 PREFIX_BITS = 1 << 27
-#: Bits in one row of a bitmap; Spark's bitmap functions have this size.
-_ROW_BITS = 1 << 15
-
-
-def _place(key: Column, bits: int) -> tuple[Column, Column]:
-    """Row of the bitmap and bit within it."""
-    at = F.pmod(F.xxhash64(key), F.lit(bits))
-    return (at / _ROW_BITS).cast("int"), F.pmod(at, F.lit(_ROW_BITS))
 
 
 def _repeated(rows: DataFrame, key: str, bits: int) -> DataFrame:
     """A bitmap of the keys that two or more rows have."""
-    row, bit = _place(F.col(key), bits)
-    twice = rows.groupBy(key).count().where("count > 1").select(row.alias("bitmap_row"), bit.alias("bit"))
-    # keys are single by now, so dealing them out by row has no hot row
-    bitmap = twice.repartition("bitmap_row").groupBy("bitmap_row").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
-    return write_shared(bitmap, "repeated")
-
-
-def _with_survival(rows: DataFrame, key: str, bitmap: DataFrame, bits: int, name: str) -> DataFrame:
-    """`rows` with a boolean `name`: whether the bitmap has the row's key."""
-    row, bit = _place(F.col(key), bits)
-    byte = F.conv(F.hex(F.substring("bitmap", (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("bigint")
-    found = rows.withColumn("_row", row).join(F.broadcast(bitmap), F.col("_row") == F.col("bitmap_row"), "left")
-    is_set = F.getbit(byte, F.pmod(bit, F.lit(8)).cast("int")) == 1
-    return found.select(*rows.columns, F.coalesce(is_set, F.lit(False)).alias(name))
+    return bitmap_of(rows.groupBy(key).count().where("count > 1"), key, bits)
 
 
 def mark_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: dict[str, Column] | None = None) -> DataFrame:
@@ -66,7 +46,7 @@ def mark_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", car
 
     grouped = write_shared(docs.select(length.alias("length"), prefix.alias("prefix")), "lengths")
     lengths = _repeated(grouped, "length", LENGTH_BITS)
-    grouped = _with_survival(grouped, "length", lengths, LENGTH_BITS, "survives").where("survives")
+    grouped = marked(grouped, "length", lengths, LENGTH_BITS, "survives").where("survives")
     prefixes = _repeated(grouped, "prefix", PREFIX_BITS)
 
     carried = F.struct(F.lit(0), *[c.alias(n) for n, c in (carry or {}).items()])
@@ -74,7 +54,7 @@ def mark_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", car
         F.col(doc_id).alias("doc_id"), F.monotonically_increasing_id().alias("place"), carried.alias("carried"),
         whole.alias("whole"), prefix.alias("prefix"),
     )
-    rows = _with_survival(rows, "prefix", prefixes, PREFIX_BITS, "survives")
+    rows = marked(rows, "prefix", prefixes, PREFIX_BITS, "survives")
     full = F.when(F.col("survives"), F.sha2("whole", 256))
     rows = write_shared(rows.select("doc_id", "place", "carried", full.alias("full")), "hashed")
 

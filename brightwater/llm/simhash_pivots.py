@@ -168,6 +168,15 @@ def _finer_buckets(rows: DataFrame) -> DataFrame:
     )
 
 
+def within(a: Column, b: Column, radius: int) -> Column:
+    """Whether two fingerprints differ in `radius` bits or fewer, after a look at their distances to each block's first pivot."""
+    near = F.lit(True)
+    for pivot in PIVOTS[:: _PIVOTS_PER_BLOCK]:
+        far_a, far_b = (F.bit_count(x.bitwiseXOR(F.lit(_signed(pivot)))) for x in (a, b))
+        near = near & (F.abs(far_a - far_b) <= radius)
+    return near & (F.bit_count(a.bitwiseXOR(b)) <= radius)
+
+
 def _pairs(buckets: DataFrame) -> DataFrame:
     left = buckets.select("key", F.col("fp").alias("a"), F.col("far").alias("far_a"))
     right = buckets.select("key", F.col("fp").alias("b"), F.col("far").alias("far_b"))

@@ -7,16 +7,11 @@ from pyspark.sql import functions as F
 from brightwater.llm import quality
 from test_decontamination import brute as brute_leaks
 from test_secret_scan import masked as brute_masked
-from test_simhash_pivots import brute_components as components_of
-from test_simhash_pivots import brute_fingerprint
+from test_shingle_groups import brute_groups
 
 DATA = "/root/testdata/sf0.01"
 
 
-def brute_components(rows):
-    return {d: first for d, _, first in components_of([(d, brute_fingerprint(t)) for d, t in rows])}
-
-
 def rows_of(df):
     return sorted((tuple(r) for r in df.collect()), key=str)
 
@@ -32,8 +27,9 @@ def test_stages_chain_and_equal_brute_force(spark):
     assert rows_of(good) == rows_of(docs.where(F.col("doc_id").isin(list(verdict))))
 
     single = corpus_pipeline.write_shared(stages["simhash_near_dedup"](spark, good, DATA), "t")
-    groups = brute_components([(r["doc_id"], r["text"]) for r in good.collect()])
-    assert rows_of(single) == rows_of(good.where(F.col("doc_id").isin(list(set(groups.values())))))
+    read = [(r["doc_id"], r["text"]) for r in good.collect()]
+    first = [min(read[k][0] for k in group) for group in brute_groups(read)]
+    assert rows_of(single) == rows_of(good.where(F.col("doc_id").isin(first)))
     assert single.count() < good.count()
 
     clean = corpus_pipeline.write_shared(stages["benchmark_decontamination"](spark, single, DATA), "t")
@@ -53,8 +49,9 @@ def test_stages_chain_and_equal_brute_force(spark):
 def test_odd_rows_pass_through_all_stages(spark, tmp_path, empty):
     long = " ".join(f"word{i % 900} and{i}" for i in range(20_000))
     text = " ".join(f"w{i}" for i in range(80))
+    alone = " ".join(f"v{i}" for i in range(90))
     rows = [
-        (1, text, "en", "a", 1), (1, text, "en", "a", 1), (None, text + " more", None, None, None), (None, None, None, None, None),
+        (1, text, "en", "a", 1), (1, text, "en", "a", 1), (None, text + " more", None, None, None), (None, alone, None, None, None), (None, alone, None, None, None), (None, None, None, None, None),
         (2, "", "en", "b", 0), (3, long, None, "b", 9), (4, long + " secret=abcdefgh123", "de", None, 5), (5, text.upper(), "en", "a", 3),
         (1, long + " a different text of one id", "en", "a", 1),
     ]
@@ -68,5 +65,7 @@ def test_odd_rows_pass_through_all_stages(spark, tmp_path, empty):
         if name != "source_mixing":
             assert docs.columns == columns
         if name == "simhash_near_dedup" and not empty:
-            assert sorted((r["doc_id"] for r in docs.collect()), key=str) == [1, 1, None]
+            # one of the short texts, one of the long ones, and the text of null ids alone
+            assert sorted((r["doc_id"], r["text"][:2]) for r in docs.collect() if r["doc_id"]) == [(1, "w0"), (1, "wo")]
+            assert [r["text"] for r in docs.collect() if r["doc_id"] is None] == [alone]
     assert docs.count() == (0 if empty else 3)

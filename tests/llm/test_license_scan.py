@@ -9,18 +9,26 @@ from brightwater.llm import license_scan
 from brightwater.llm.queries import QUERIES
 
 APACHE = "Licensed under the Apache License, Version 2.0."
+#: The license lines of the table.
+LINES = {
+    "Apache-2.0": APACHE,
+    "GPL-3.0-only": "This work is licensed under the GNU General Public License, version 3.",
+    "MIT": "Released under the MIT License.",
+    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
+}
 
 
 def test_finds_each_planted_line_of_the_whole_table(spark):
     data = "/root/testdata/sf0.1"
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
     rows = QUERIES["op8_license_scan"](spark, data).collect()
-    planted = {d for d, t in texts.items() if APACHE in t}
-    assert len(planted) > 50
-    assert {r["doc_id"] for r in rows if r["license"] == "Apache-2.0"} == planted
-    assert {r["license"] for r in rows} == {"Apache-2.0"}
+    for name, line in LINES.items():
+        planted = {d for d, t in texts.items() if line in t}
+        assert len(planted) > 50
+        assert {r["doc_id"] for r in rows if r["license"] == name} == planted
+    assert {r["license"] for r in rows} == set(LINES)
     for r in rows:
-        assert " ".join(texts[r["doc_id"]].split()[r["start_word"] :][: r["n_words"]]) == APACHE
+        assert " ".join(texts[r["doc_id"]].split()[r["start_word"] :][: r["n_words"]]) == LINES[r["license"]]
 
 
 def test_templates_whole_wrapped_and_edited(spark):
