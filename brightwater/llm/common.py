@@ -72,6 +72,12 @@ def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
     return df.mapInArrow(function, schema)
 
 
+def grouped_arrow(df: DataFrame, keys: list[str], function, schema: str) -> DataFrame:
+    """`df.groupBy(*keys).applyInArrow`, with this package sent along to the executors once."""
+    _send_package(df.sparkSession)
+    return df.groupBy(*keys).applyInArrow(function, schema)
+
+
 def _send_package(spark: SparkSession) -> None:
     context = spark.sparkContext
     name = f"{__name__.split('.')[0]}-{context.applicationId}.zip"
