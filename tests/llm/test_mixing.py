@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import random
 from collections import defaultdict
 
@@ -62,8 +63,6 @@ def test_rates_are_tilted_by_size_and_meet_the_target(spark):
         by_source[r["source"]].append(r)
     for rows in by_source.values():
         assert sum(r["rate"] * r["size"] for r in rows) == pytest.approx(rows[0]["target"], rel=1e-5)
-        import math
-
         tilts = [math.log(r["rate"]) / r["size"] for r in rows if r["size"] and r["rate"] < 2]
         assert not tilts or max(tilts) - min(tilts) < 1e-9
 
@@ -80,6 +79,39 @@ def test_odd_rows(spark):
     assert len(got) == 6 and {r["source_size"] for r in got} == {8, 2}
 
 
+def test_rows_that_share_id_and_size_are_taken_one_by_one(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "_REPEATS", 7)
+    rows = [(7, "a", "w " * 10)] * 400 + [(None, "b", "x " * 10)] * 400 + [(7, "c", "y " * 10)] * 400
+    docs = spark.createDataFrame(rows, "doc_id bigint, source string, text string")
+    got = mixing.mix(docs).collect()
+    assert len(got) == 1200
+    taken = defaultdict(int)
+    for r in got:
+        assert r["taken"] in (0, 10, 20)
+        taken[r["target"]] += r["taken"]
+    assert sorted(taken) == [pytest.approx(10_000 / 3), pytest.approx(20_000 / 3), 8000.0]
+    for target, n in taken.items():
+        assert abs(n - target) < 10
+    again = mixing.mix(docs.repartition(5), broadcast_rows=0).collect()
+    assert sorted(map(tuple, again), key=str) == sorted(map(tuple, got), key=str)
+
+
+def test_tilts_are_found_by_halving_too_and_a_source_without_one_is_reported(spark, monkeypatch):
+    sizes = spark.createDataFrame([(0, i % 9 + 1, 10) for i in range(9)] + [(0, 20_000, 1), (1, 3, 50), (1, 90, 1)], "rank bigint, size bigint, n bigint")
+    totals = [(0, 9000.0, 20_450, 91), (1, 100.0, 240, 51)]
+    sources = spark.createDataFrame(totals, "rank bigint, target double, source_size bigint, n_docs bigint")
+    monkeypatch.setattr(mixing, "_HALVING", 0)
+    solved = {r["rank"]: r for r in mixing._tilts(sizes, sources, 2).collect()}
+    words = defaultdict(float)
+    for r in sizes.collect():
+        tilt = solved[r["rank"]]
+        words[r["rank"]] += r["n"] * r["size"] * min(2, math.exp(min(50, tilt["tilt"] * r["size"] / tilt["mean"])))
+    assert [words[0], words[1]] == [pytest.approx(9000, rel=2e-6), pytest.approx(100, rel=2e-6)]
+    monkeypatch.setattr(mixing, "_ROUNDS", 1)
+    with pytest.raises(ArithmeticError):
+        mixing._tilts(sizes, sources, 2)
+
+
 def test_empty_tables(spark):
     schema = "doc_id bigint, source string, text string"
     assert mixing.mix(spark.createDataFrame([], schema)).collect() == []
