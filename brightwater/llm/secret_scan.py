@@ -3,13 +3,17 @@
 Only built-in expressions are used, so a text never leaves the JVM and no row
 is shuffled. A regular expression gives the matches and, split at it, the texts
 between them; their lengths give the positions. Positions are code points.
+Sums and maxima along the matches of a text are made in blocks, so the time is
+in proportion to the matches.
 
 An entropy candidate is a longest run of token characters with a letter and a
 digit. A window of `WINDOW` characters slides over it with the counts of its
-characters: a step changes two counts and the sum of c * log2(c), from which
-the entropy follows. Windows above the bound of the candidate's class (hex
-digits only, or any) join into spans. A candidate that the allow-list knows to
-be harmless adds none, nor does a span that overlaps one of a pattern.
+characters, five bits each: a step changes two counts and the sum of
+c * log2(c), from which the entropy follows. Windows above the bound of the
+candidate's class join into spans. A class is an alphabet, and its bound lies
+`SPREAD` standard deviations below the mean entropy of windows drawn evenly
+from it. A candidate that the allow-list knows to be harmless adds none, nor
+does a span that overlaps one of a pattern.
 """
 
 from __future__ import annotations
@@ -32,9 +36,9 @@ KINDS = ["assign", "access", "hex", "entropy"]
 
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 WINDOW = 20
-#: Bits a character above which a window counts as random.
-HEX_BITS = 3.0
-TOKEN_BITS = 3.8
+SPREAD = 2.5
+#: Pattern and number of letters of each class of candidates; the first that fits holds, the last fits all.
+CLASSES = [("^[0-9A-Fa-f]+$", 16), ("^[0-9a-z]+$", 36), ("^[0-9A-Z]+$", 36), ("", 64)]
 
 # Strings that look random and are no secrets. In this order:
 # UUIDs, integrity digests of lock files, placeholders, alphabets in order,
@@ -50,30 +54,69 @@ ALLOWED = [
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 _SPAN = "array<struct<start:int,kind:int,end:int>>"
 MASK = "[SECRET]"
+#: Elements that a running sum goes through at a time.
+_BLOCK = 64
+_COUNT_BITS, _COUNTS_A_LONG = 5, 12
+
+
+def least_bits(letters: int) -> float:
+    """Bits a character above which a window counts as random, for candidates of an alphabet of so many letters."""
+    n, p = WINDOW, 1 / letters
+    weight = [c * math.log2(c) if c else 0.0 for c in range(n + 1)]
+    chance = [math.comb(n, c) * p**c * (1 - p) ** (n - c) for c in range(n + 1)]
+    both = sum(
+        math.comb(n, a) * math.comb(n - a, b) * p ** (a + b) * (1 - 2 * p) ** (n - a - b) * weight[a] * weight[b]
+        for a in range(n + 1)
+        for b in range(n + 1 - a)
+    )
+    mean = letters * sum(q * w for q, w in zip(chance, weight))
+    square = letters * sum(q * w * w for q, w in zip(chance, weight)) + letters * (letters - 1) * both
+    return math.log2(n) - (mean + SPREAD * math.sqrt(square - mean**2)) / n
 
 
 def _no_spans() -> Column:
     return F.array().cast(_SPAN)
 
 
+def _running(values: Column, join) -> Column:
+    """`join`, of two integers, of each element with all before it; 0 leaves the other as it is."""
+
+    def scan(items: Column, before: Column) -> Column:
+        return F.aggregate(items, F.array(before), lambda done, x: F.concat(done, F.array(join(F.element_at(done, -1), x))))
+
+    def in_blocks(items: Column) -> Column:
+        last = F.floor((F.size(items) - 1) / _BLOCK).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(items, k * _BLOCK + 1, _BLOCK))
+
+    def joined(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), join))
+        return let(
+            scan(totals, F.lit(0)),
+            lambda before: F.flatten(F.transform(blocks, lambda b, k: F.slice(scan(b, before[k]), 2, _BLOCK))),
+        )
+
+    return let(
+        values,
+        lambda items: F.when(F.size(items) > 0, let(in_blocks(items), joined)).otherwise(F.array().cast("array<int>")),
+    )
+
+
 def _located(text: Column, pattern: str) -> Column:
     """All matches as an array of (start, match), empty where there is none."""
     kind = "array<struct<start:int,match:string>>"
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
 
-    def step(state: Column, pair: Column) -> Column:
-        start = state["at"] + F.length(pair["before"])
-        found = F.struct(start.alias("start"), pair["match"].alias("match"))
-        return F.struct(
-            (start + F.length(pair["match"])).alias("at"), F.concat(state["found"], F.array(found)).alias("found")
+    def placed(matches: Column) -> Column:
+        # before each match lies one of the texts that the pattern splits off
+        lengths = let(
+            F.transform(F.split(text, pattern, -1), F.length),
+            lambda between: F.transform(matches, lambda m, i: F.length(m) + between[i]),
         )
+        return let(
+            _running(lengths, lambda a, b: a + b),
+            lambda ends: F.transform(matches, lambda m, i: F.struct((ends[i] - F.length(m)).alias("start"), m.alias("match"))),
+        ).cast(kind)
 
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("found"))
-    pairs = F.zip_with(between, matches, lambda b, m: F.struct(b.alias("before"), m.alias("match")))
-    # after the last match the text goes on, with no match to pair it with
-    pairs = F.filter(pairs, lambda p: p["match"].isNotNull())
-    located = F.aggregate(pairs, begin, step, lambda s: s["found"])
+    located = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
     return F.when(text.rlike(pattern), located).otherwise(F.array().cast(kind))
 
 
@@ -97,33 +140,55 @@ def _weight(count: Column) -> Column:
 def _random_runs(token: Column) -> Column:
     """Runs (start, end) of random windows in a candidate, from 0."""
     codes = F.transform(F.split(token, "", -1), lambda ch: F.instr(F.lit(_ALPHABET), ch) - 1)
-    bound = F.when(token.rlike("^[0-9A-Fa-f]+$"), F.lit(HEX_BITS)).otherwise(F.lit(TOKEN_BITS))
     # the sum of c * log2(c) below which a window is random
-    most = WINDOW * (math.log2(WINDOW) - bound)
+    limits = [(pattern, WINDOW * (math.log2(WINDOW) - least_bits(letters))) for pattern, letters in CLASSES]
+    most = F.lit(limits[-1][1])
+    for pattern, limit in reversed(limits[:-1]):
+        most = F.when(token.rlike(pattern), F.lit(limit)).otherwise(most)
     return let(codes, lambda found: let(most, lambda limit: _runs_of_codes(token, found, limit)))
 
 
 def _runs_of_codes(token: Column, codes: Column, most: Column) -> Column:
     kind = "array<struct<start:int,end:int>>"
-    size = len(_ALPHABET)
-    letters = F.sequence(F.lit(0), F.lit(size - 1))
-    counts = let(
-        F.slice(codes, 1, WINDOW), lambda first: F.transform(letters, lambda k: F.size(F.filter(first, lambda x: x == k)))
-    )
-    total = F.aggregate(counts, F.lit(0.0), lambda s, c: s + _weight(c))
+    longs = -(-len(_ALPHABET) // _COUNTS_A_LONG)
+
+    def shift(code: Column) -> Column:
+        return (code % _COUNTS_A_LONG) * _COUNT_BITS
+
+    def count_of(counts: Column, code: Column) -> Column:
+        packed = counts[F.floor(code / _COUNTS_A_LONG).cast("int")]
+        return F.call_function("shiftright", packed, shift(code)).bitwiseAND((1 << _COUNT_BITS) - 1).cast("int")
+
+    def one_at(code: Column, k: Column) -> Column:
+        one = F.call_function("shiftleft", F.lit(1).cast("bigint"), shift(code))
+        return F.when(F.floor(code / _COUNTS_A_LONG) == k, one).otherwise(F.lit(0).cast("bigint"))
+
+    def add(state: Column, code: Column) -> Column:
+        before = count_of(state["counts"], code)
+        return F.struct(
+            F.transform(state["counts"], lambda c, k: c + one_at(code, k)).alias("counts"),
+            (state["total"] - _weight(before) + _weight(before + 1)).alias("total"),
+        )
+
+    empty = F.struct(F.array_repeat(F.lit(0).cast("bigint"), longs).alias("counts"), F.lit(0.0).alias("total"))
     run = F.array(F.struct(F.lit(0).alias("start"), F.lit(WINDOW).alias("end")))
-    begin = F.struct(
-        counts.alias("counts"), total.alias("total"),
-        F.when(total < most, run).otherwise(F.array()).cast(kind).alias("runs"),
+    begin = let(
+        F.aggregate(F.slice(codes, 1, WINDOW), empty, add),
+        lambda first: F.struct(
+            first["counts"].alias("counts"), first["total"].alias("total"),
+            F.when(first["total"] < most, run).otherwise(F.array()).cast(kind).alias("runs"),
+        ),
     )
 
     def step(state: Column, move: Column) -> Column:
         gone, new, end = move["gone"], move["new"], move["end"]
-        fewer, more = state["counts"][gone], state["counts"][new]
+        fewer, more = count_of(state["counts"], gone), count_of(state["counts"], new)
         total = F.when(gone == new, state["total"]).otherwise(
             state["total"] - _weight(fewer) + _weight(fewer - 1) - _weight(more) + _weight(more + 1)
         )
-        counts = F.transform(state["counts"], lambda c, k: c - (k == gone).cast("int") + (k == new).cast("int"))
+        counts = F.when(gone == new, state["counts"]).otherwise(
+            F.transform(state["counts"], lambda c, k: c - one_at(gone, k) + one_at(new, k))
+        )
         runs, last = state["runs"], F.element_at(state["runs"], -1)
         joins = (F.size(runs) > 0) & (last["end"] >= end - WINDOW)
         longer = F.concat(
@@ -160,7 +225,27 @@ def _entropy_spans(text: Column, known: Column) -> Column:
             ),
         )
     )
-    return F.filter(spans, lambda s: ~F.exists(known, lambda k: (k["start"] < s["end"]) & (s["start"] < k["end"])))
+    return let(
+        F.coalesce(spans, _no_spans()),
+        lambda found: F.when((F.size(found) == 0) | (F.size(known) == 0), found).otherwise(_apart_from(found, known)),
+    )
+
+
+def _apart_from(found: Column, known: Column) -> Column:
+    """Spans of `found`, sorted and apart from each other, that overlap none of `known`."""
+    # the farthest end of the known spans that start before each found one ends
+    starts = F.transform(known, lambda k: F.struct(k["start"].alias("at"), F.lit(1).alias("known"), k["end"].alias("reach")))
+    asked = F.transform(found, lambda s: F.struct(s["end"].alias("at"), F.lit(0).alias("known"), F.lit(0).alias("reach")))
+
+    def met(events: Column) -> Column:
+        reach = _running(F.transform(events, lambda e: e["reach"]), lambda a, b: F.greatest(a, b))
+        both = F.zip_with(events, reach, lambda e, r: F.struct(e["known"].alias("known"), r.alias("reach")))
+        return F.filter(both, lambda e: e["known"] == 0)
+
+    return let(
+        let(F.sort_array(F.concat(starts, asked)), met),
+        lambda reached: F.filter(found, lambda s, i: reached[i]["reach"] <= s["start"]),
+    )
 
 
 def with_spans(docs: DataFrame, text: str, name: str) -> DataFrame:
@@ -183,8 +268,10 @@ def find_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
     `spans` lists kind:start:end of all spans by start, then kind; the end is
     exclusive. `base_sha256` is the digest of the same list without entropy
-    spans. Null texts count as empty. Null ids and repeated rows stay as they
-    are, an empty table gives no rows, other columns of `docs` are not read.
+    spans. Null texts count as empty, very long ones are searched whole, in time
+    in proportion to their length and matches. Null ids and repeated rows stay
+    as they are, spans that begin together are listed by kind, an empty table
+    gives no rows, other columns of `docs` are not read.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     found = with_spans(rows, "text", "found")
@@ -201,6 +288,18 @@ def find_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     )
 
 
+def _united(spans: Column) -> Column:
+    """Sorted spans as (start, end), overlapping ones as one."""
+
+    def united(reach: Column) -> Column:
+        last = F.size(spans) - 1
+        starts = F.filter(spans, lambda s, i: (i == 0) | (s["start"] >= reach[F.greatest(i - 1, F.lit(0))]))
+        ends = F.filter(reach, lambda r, i: (i == last) | (spans[F.least(i + 1, last)]["start"] >= r))
+        return F.zip_with(starts, ends, lambda s, e: F.struct(s["start"].alias("start"), e.alias("end")))
+
+    return let(_running(F.transform(spans, lambda s: s["end"]), lambda a, b: F.greatest(a, b)), united)
+
+
 def mask_secrets(docs: DataFrame, text: str = "text", n_chars: str = "n_chars", mask: str = MASK) -> DataFrame:
     """`docs` with each span in `text` replaced by `mask`, overlapping ones by one.
 
@@ -210,19 +309,8 @@ def mask_secrets(docs: DataFrame, text: str = "text", n_chars: str = "n_chars",
     name = "_spans"
     while name in docs.columns:
         name += "_"
-    kind = "array<struct<start:int,end:int>>"
-
-    def join(done: Column, s: Column) -> Column:
-        last = F.element_at(done, -1)
-        overlaps = (F.size(done) > 0) & (s["start"] < last["end"])
-        wider = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))
-        before = F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))
-        return F.when(overlaps, F.concat(before, F.array(wider))).otherwise(
-            F.concat(done, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))))
-        ).cast(kind)
-
     found = with_spans(docs, text, name)
-    found = found.withColumn(name, F.aggregate(name, F.array().cast(kind), join))
+    found = found.withColumn(name, let(F.col(name), _united))
     spans = F.col(name)
     begin = lambda k: F.when(k == 0, F.lit(0)).otherwise(spans[k - 1]["end"])
     end = lambda k: F.when(k < F.size(spans), spans[k]["start"]).otherwise(F.length(text))
