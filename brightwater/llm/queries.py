@@ -23,6 +23,7 @@ from brightwater.llm import (
     window_dedup,
 )
 from brightwater.llm.common import table
+from brightwater.llm.url_filter_sql import SQL as URL_FILTER_SQL
 from brightwater.llm.vector_codes_sql import compress_sql
 
 
@@ -133,6 +134,7 @@ SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words,
        CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM d LEFT JOIN kept ON d.r = kept.r
 """,
+    "op7_url_filters": URL_FILTER_SQL,
     "op11_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
        coalesce(doc_id = max(doc_id) OVER g, true) AS kept, sha256(coalesce(text, '')) AS text_sha256

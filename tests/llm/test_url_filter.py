@@ -3,10 +3,12 @@ from __future__ import annotations
 import random
 import re
 
+import duckdb
+import pandas as pd
 from pyspark.sql import functions as F
 
 from brightwater.llm import url_filter
-from brightwater.llm.queries import QUERIES
+from brightwater.llm.queries import ORACLE_SQL, QUERIES
 
 LOWER = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
 
@@ -96,6 +98,13 @@ def result(df):
     return sorted((tuple(r)[:5] for r in df.collect()), key=str)
 
 
+def by_sql(pages):
+    """All columns of the query, of a table of pages."""
+    with duckdb.connect() as con:
+        con.register("pages", pages)
+        return sorted(con.execute(ORACLE_SQL["op7_url_filters"]).fetchall(), key=str)
+
+
 def test_equals_brute_force_on_whole_table(spark):
     data = "/root/testdata/sf0.1"
     rows = [tuple(r) for r in spark.read.parquet(f"{data}/pages.parquet").select("page_id", "url").collect()]
@@ -112,7 +121,9 @@ def test_random_trees(spark):
         path = "/".join(draw.choice(["de", "en", "fr", "shop", "12", f"item{draw.randrange(9)}.html", draw.choice("abcdefghijklmnopqrstuvwxyz") * 3]) for _ in range(draw.randint(0, 8)))
         rows.append((i, f"https://{host}/{path}{draw.choice(['', '/', '?q=1', '#x'])}"))
     expected = brute(rows)
-    assert result(url_filter.filter_urls(spark.createDataFrame(rows, "page_id bigint, url string"))) == expected
+    found = url_filter.filter_urls(spark.createDataFrame(rows, "page_id bigint, url string"))
+    assert result(found) == expected
+    assert sorted((tuple(r) for r in found.collect()), key=str) == by_sql(pd.DataFrame(rows, columns=["page_id", "url"]))
 
 
 def pages_of(spark, urls):
