@@ -7,10 +7,12 @@ phrase is a pointer into the sample, so a text of n letters costs phrases *
 log2(sample length) / n bits per letter; the language with the least wins.
 
 The sample is bounded: `DOCS` documents a language with the smallest hash of
-their id, and of those `PIECES` pieces of `PIECE` characters. Each automaton
-has fewer than two states a character and is sent to the executors as a table
-of about 10 MB. Every text is parsed whole, in stretches of equal length side
-by side, each beginning a new phrase.
+their id, and of those `PIECES` pieces of `PIECE` characters, or fewer where the
+languages together would exceed `CHARACTERS`. An automaton has fewer than three
+edges a character. They are sent to the executors as a hash table of 24 bytes an
+edge, whatever the number of letters, so a model is never over `MODEL_BYTES`.
+Every text is parsed whole, in stretches of equal length side by side, each
+beginning a new phrase.
 """
 
 from __future__ import annotations
@@ -30,6 +32,11 @@ from brightwater.llm.common import map_arrow
 DOCS = 60
 PIECES = 60
 PIECE = 500
+#: Characters of the samples of all languages together.
+CHARACTERS = 2_000_000
+#: Bytes of a model that is sent to the executors: three edges a character, of 24
+#: bytes each, and the classes of all code points.
+MODEL_BYTES = 72 * CHARACTERS + (8 << 20)
 HELD_OUT = 2
 UNKNOWN = "und"
 _STRETCH = 256
@@ -69,17 +76,64 @@ def _automaton(codes: list[int]) -> list[dict[int, int]]:
 
 
 @dataclass
-class Model:
-    """`steps[begins[k] + state + code]` of language `k` is twice the next state,
-    plus one if a new phrase begins; states are multiples of `width`."""
+class Edges:
+    """Edges of an automaton in a hash table with linear probing, half full.
+
+    The edge from `state` by `code` has the key `state * width + code`; an empty
+    place has the key -1."""
+
+    keys: np.ndarray
+    to: np.ndarray
+
+    def _places(self, keys: np.ndarray) -> np.ndarray:
+        high = (keys.view(np.uint64) * tokens.BASE) >> np.uint64(32)
+        return (high * np.uint64(len(self.keys)) >> np.uint64(32)).view(np.int64)
+
+    @staticmethod
+    def of(keys: np.ndarray, to: np.ndarray) -> Edges:
+        """Each key once. The places do not exceed 2^32, as `_places` needs."""
+        size = max(2, 2 * len(keys))
+        if size >= 1 << 32:
+            raise ValueError(f"{len(keys)} edges are too many for one language")
+        table = Edges(np.full(size, -1, np.int64), np.zeros(size, np.int32))
+        places, waiting = table._places(keys), np.arange(len(keys))
+        while len(waiting):
+            free = waiting[table.keys[places[waiting]] < 0]
+            _, first = np.unique(places[free], return_index=True)
+            put = free[first]
+            table.keys[places[put]], table.to[places[put]] = keys[put], to[put]
+            waiting = waiting[table.keys[places[waiting]] != keys[waiting]]
+            places[waiting] = (places[waiting] + 1) % size
+        return table
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The state that each edge leads to, -1 where there is none."""
+        places = self._places(keys)
+        held = self.keys[places]
+        found = np.where(held == keys, self.to[places], -1)
+        waiting = np.flatnonzero((held != keys) & (held >= 0))
+        while len(waiting):
+            at = places[waiting] + 1
+            at[at == len(self.keys)] = 0
+            places[waiting] = at
+            held = self.keys[at]
+            same = held == keys[waiting]
+            found[waiting[same]] = self.to[at[same]]
+            waiting = waiting[~same & (held >= 0)]
+        return found
 
+
+@dataclass
+class Model:
     languages: list[str]
     classes: np.ndarray
     width: int
-    steps: np.ndarray
-    begins: np.ndarray
+    edges: list[Edges]
     bits: np.ndarray
 
+    def bytes(self) -> int:
+        return self.classes.nbytes + sum(e.keys.nbytes + e.to.nbytes for e in self.edges)
+
 
 def _collapsed(codes: np.ndarray) -> np.ndarray:
     """Whether a code is kept when neighbouring spaces become one."""
@@ -97,25 +151,17 @@ def fit(pieces: dict[str, list[str]]) -> Model:
         for form in {letter, letter.upper(), letter.title()}:
             if len(form) == 1:
                 classes[ord(form)] = k + 2
-    width = len(letters) + 3  # the last code pads stretches
-    steps, begins, bits, begin = [], [], [], 0
+    width = len(letters) + 2
+    edges, bits = [], []
     for language in sorted(pieces):
         codes = classes[np.frombuffer(" ".join(pieces[language]).encode("utf-32-le", "replace"), np.uint32)]
         codes = codes[_collapsed(codes)].tolist()
         following = _automaton(codes)
-        known = np.full((len(following), width), -1, np.int64)
-        for state, out in enumerate(following):
-            for code, to in out.items():
-                known[state, code] = to
-        root = np.maximum(known[0], 0)
-        table = np.where(known >= 0, 2 * width * known, 2 * width * root + 1)
-        table[:, -1] = 2 * width * np.arange(len(following))
-        steps.append(table.astype(np.int32).ravel())
-        begins.append(begin)
-        begin += table.size
+        n = sum(map(len, following))
+        keys = np.fromiter((state * width + code for state, out in enumerate(following) for code in out), np.int64, n)
+        edges.append(Edges.of(keys, np.fromiter((to for out in following for to in out.values()), np.int32, n)))
         bits.append(math.log2(max(2, len(codes))))
-    joined = np.concatenate(steps) if steps else np.zeros(0, np.int32)
-    return Model(sorted(pieces), classes, width, joined, np.array(begins, np.int64), np.array(bits))
+    return Model(sorted(pieces), classes, width, edges, np.array(bits))
 
 
 def phrases(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -145,17 +191,19 @@ def phrases(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     at_once = 4096
     for low in range(0, len(owner), at_once):
         part = slice(low, low + at_once)
-        grid = padded[begin[part][:, None] + np.arange(_STRETCH)]
-        grid[np.arange(_STRETCH) >= size[part][:, None]] = model.width - 1
+        grid = padded[begin[part][:, None] + np.arange(_STRETCH)].astype(np.int64)
         columns = np.ascontiguousarray(grid.T)
-        for k, start in enumerate(model.begins):
-            steps = model.steps[start : model.begins[k + 1] if k + 1 < len(model.begins) else None]
-            state = np.zeros(columns.shape[1], np.int32)
-            found = np.ones(columns.shape[1], np.int32)
-            for column in columns:
-                step = steps[state + column]
-                found += step & 1
-                state = step >> 1
+        inside = np.arange(_STRETCH)[:, None] < size[part]
+        for k, edges in enumerate(model.edges):
+            state = np.zeros(columns.shape[1], np.int64)
+            found = np.ones(columns.shape[1], np.int64)
+            for column, valid in zip(columns, inside):
+                following = edges.find(state * model.width + column)
+                ends = np.flatnonzero(following < 0)
+                if len(ends):
+                    found[ends] += valid[ends]
+                    following[ends] = np.maximum(edges.find(column[ends]), 0)
+                state = following.astype(np.int64)
             np.add.at(counts[:, k], owner[part], found)
     return counts, has_letter
 
@@ -181,21 +229,26 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == HELD_OUT, F.lit(False))
 
 
-def sample(docs: DataFrame) -> dict[str, list[str]]:
-    """Pieces of labelled text by language, from documents that are not held out and have an id."""
+def sample(docs: DataFrame, characters: int = CHARACTERS) -> dict[str, list[str]]:
+    """Pieces of labelled text by language, from documents that are not held out and have an id.
+
+    All languages get the same share of `characters`, up to `PIECES` pieces.
+    """
     known = docs.select("doc_id", "text", "lang").where(
         "doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL"
     )
     known = known.where(~held_out(F.col("doc_id"))).withColumn("order", F.xxhash64("doc_id"))
+    share = max(1, characters // max(1, known.select("lang").distinct().count()))
+    length, most = min(PIECE, share), max(1, min(PIECES, share // PIECE))
     first = known.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("order", "doc_id", "text"))).where(
         F.col("n") <= DOCS
     )
-    places = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / PIECE).cast("int"))
+    places = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / length).cast("int"))
     pieces = first.where("text != ''").select("lang", "order", "text", F.explode(places).alias("at")).select(
-        "lang", F.xxhash64("order", "at").alias("order"), F.substring(F.col("text"), F.col("at") * PIECE + 1, F.lit(PIECE)).alias("piece")
+        "lang", F.xxhash64("order", "at").alias("order"), F.substring(F.col("text"), F.col("at") * length + 1, F.lit(length)).alias("piece")
     )
     chosen = pieces.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("order", "piece"))).where(
-        F.col("n") <= PIECES
+        F.col("n") <= most
     )
     found: dict[str, list[str]] = {}
     for row in sorted(chosen.select("lang", "n", "piece").collect()):
@@ -211,9 +264,13 @@ def identify(docs: DataFrame) -> DataFrame:
     `und` with score 0, as is any text where no labelled text is given.
     Languages that cost the same go by name. Rows with a null id or language
     are predicted but not learned from. Repeated rows give repeated rows, an
-    empty table none. Other columns are not read.
+    empty table none. A very long text is parsed whole, as any other; of its
+    pieces the sample may hold some. Other columns are not read.
     """
-    model = docs.sparkSession.sparkContext.broadcast(fit(sample(docs)))
+    fitted = fit(sample(docs))
+    if fitted.bytes() > MODEL_BYTES:
+        raise ValueError(f"the model of {len(fitted.languages)} languages takes {fitted.bytes()} bytes")
+    model = docs.sparkSession.sparkContext.broadcast(fitted)
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
 
     def per_batch(batches):

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 import zlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -38,6 +39,44 @@ def test_phrases_equal_substring_search():
             assert counts[d, k] == brute_phrases(samples[name], text), (text, name)
 
 
+def test_model_grows_with_edges_and_not_with_letters():
+    draw = random.Random(2)
+    few = {"a": ["".join(draw.choice("abcdefghij ") for _ in range(30_000))]}
+    many = {"a": ["".join(chr(0x4E00 + draw.randrange(5_000)) for _ in range(30_000))], "b": few["a"]}
+    assert language.fit(few).bytes() - language.fit({}).bytes() <= 72 * 30_000
+    model = language.fit(many)
+    assert model.width > 4_900
+    assert model.bytes() - language.fit({}).bytes() <= 72 * 60_000
+    texts = [many["a"][0][100:400], many["b"][0][5_000:5_300], "".join(chr(0x4E00 + draw.randrange(6_000)) for _ in range(700))]
+    counts, _ = language.phrases(model, pa.array(texts, pa.large_string()))
+    for d, text in enumerate(texts):
+        assert list(counts[d]) == [brute_phrases(many[name], text) for name in model.languages]
+
+
+def test_edges_are_found_and_others_not():
+    draw = random.Random(5)
+    keys = np.array(sorted({draw.randrange(1 << 20) for _ in range(20_000)}), np.int64)
+    table = language.Edges.of(keys, np.arange(len(keys), dtype=np.int32))
+    place = {k: i for i, k in enumerate(keys.tolist())}
+    assert table.find(np.arange(1 << 20)).tolist() == [place.get(k, -1) for k in range(1 << 20)]
+    assert language.Edges.of(keys[:0], np.zeros(0, np.int32)).find(keys[:3]).tolist() == [-1] * 3
+
+
+def test_many_languages_share_the_sample(spark):
+    draw = random.Random(4)
+    words = {f"l{k:03}": ["".join(draw.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(30)] for k in range(200)}
+    rows = [(i, " ".join(draw.choice(words[lang]) for _ in range(300)), lang) for i, lang in enumerate(list(words) * 5)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(8)
+    pieces = language.sample(docs, characters=200_000)
+    assert len(pieces) > 190 and sum(len(t) for p in pieces.values() for t in p) <= 200_000
+    assert language.fit(pieces).bytes() <= 72 * 200_000 + (8 << 20)
+    got = {r["doc_id"]: r["lang_pred"] for r in language.identify(docs).collect()}
+    held = [got[i] == lang for i, _, lang in rows if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert len(held) > 200 and sum(held) / len(held) > 0.95
+    tiny = language.sample(docs, characters=2_000)
+    assert all(len(t) <= 10 for p in tiny.values() for t in p)
+
+
 def test_held_out_accuracy(spark):
     data = "/root/testdata/sf0.1"
     docs = {r["doc_id"]: r for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
