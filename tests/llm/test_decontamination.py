@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from brightwater.llm import decontamination
@@ -85,6 +86,40 @@ def test_edited_passages(spark):
     assert sorted(held, key=str) == sorted(wanted, key=str)
 
 
+def test_radius_loses_no_window_at_the_bound():
+    """Windows of 9k shingles of which 8k are the item's have a similarity of exactly 0.8."""
+    draw = np.random.default_rng(6)
+    for k in (1, 2, 3, 5, 10):
+        shared = draw.binomial(8 * k, 0.5, (50_000, 64))
+        bits = [2 * (shared + draw.binomial(k, 0.5, shared.shape)) > 9 * k for _ in range(2)]
+        apart = (bits[0] != bits[1]).sum(axis=1)
+        assert (apart > decontamination.RADIUS).sum() <= 2
+        assert 8.5 < apart.mean() < 10
+
+
+def test_windows_ask_for_their_own_items_alone(spark):
+    draw = random.Random(9)
+    word = lambda: "".join(draw.choice("abcdefgh") for _ in range(5))
+    items = [(i, " ".join(word() for _ in range(30))) for i in range(400)]
+    docs = [(i, " ".join([*(word() for _ in range(20)), *items[i % 40][1].split(), *(word() for _ in range(20))])) for i in range(80)]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    wordings = decontamination._items(bench)
+    windows = decontamination._windows(spark.createDataFrame(docs, "doc_id bigint, text string"), wordings, decontamination.BROADCAST_ROWS)
+    rows = windows.collect()
+    assert len(rows) == 80 and all(len(r["items"]) == 1 for r in rows)
+
+
+def test_odd_items_and_a_hot_passage(spark):
+    passage = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    docs = [(i, f"word{i} other{i} {passage} more{i}") for i in range(300)] + [(1000 + i, f"clean text number {i} without any of it") for i in range(300)]
+    items = [(None, passage), (7, passage + " lambda"), (7, "quite some other words in this one"), (8, None)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(5)
+    rows = decontamination.find_leaks(df, spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert sorted((r["doc_id"], r["start"]) for r in rows if r["item_id"] is None) == [(i, 2) for i in range(300)]
+    assert {r["similarity"] for r in rows if r["item_id"] is None} == {1.0}
+    assert {r["item_id"] for r in rows} <= {None, 7}
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b c d e f g")], "doc_id bigint, text string")
     bench = spark.createDataFrame([(1, "a b c d e f g")], "item_id bigint, text string")
