@@ -26,7 +26,9 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brightwater.llm.common import map_arrow, new_path
+from brightwater.llm.bitmaps import bitmap_of, bits_for, marked
+from brightwater.llm.common import map_arrow, new_path, write_shared
+from brightwater.llm.group_joins import join_groups
 
 #: Payloads of fewer bytes are never revisits.
 LEAST_BYTES = 100
@@ -45,39 +47,56 @@ def with_record_types(pages: DataFrame, page_id: str = "page_id", html: str = "h
     Of records with equal payloads of at least `LEAST_BYTES` bytes the one with
     the smallest id is the response and others revisit it. Rows that repeat the
     smallest id are responses too. A null id is larger than any other; if all
-    are null, all are responses. A null payload is empty.
+    are null, all are responses. A null payload is empty. A very long payload
+    is hashed and kept whole. `payload` is null for revisits.
+
+    Ids and digests alone tell which records are revisits. Two bitmaps, of
+    repeated digests and of the first ids of each, keep payloads where they are
+    read: only the first of a repeated payload, and the few rows that share a
+    bit with one, are compared exactly, and written once for that.
     """
     rows = pages.select(
         F.col(page_id).alias("page_id"), F.coalesce(F.col(html), F.lit("")).alias("payload")
     ).select(
         "page_id", "payload", F.octet_length("payload").cast("bigint").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest")
     )
-    # only digests that occur more than once are joined, each as one row
-    repeated = (
-        rows.where(F.col("payload_bytes") >= LEAST_BYTES)
-        .groupBy("payload_digest")
-        .agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
-        .where("n > 1")
-        .select(F.col("payload_digest").alias("digest"), "first")
-    )
-    same = (F.col("payload_digest") == F.col("digest")) & (F.col("payload_bytes") >= LEAST_BYTES)
+    is_long = F.col("payload_bytes") >= LEAST_BYTES
+    ids = write_shared(rows.where(is_long).select("page_id", "payload_bytes", "payload_digest", _of_first("page_id")), "payload-ids")
+    groups = write_shared(ids.groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")), "payload-groups")
+    repeated = write_shared(groups.where("n > 1 AND first IS NOT NULL"), "payload-repeated")
+
+    bits = bits_for(repeated.count())
+    digests = bitmap_of(repeated, "payload_digest", bits)
+    passing = marked(groups, "payload_digest", digests, bits, "repeats").where("repeats").select(_of_first("first"))
+    passing = write_shared(passing, "payload-firsts")
+    first_bits = bits_for(passing.count())
+    firsts = bitmap_of(passing, "of_first", first_bits)
+
+    def sorted_out(df: DataFrame) -> DataFrame:
+        return marked(marked(df, "payload_digest", digests, bits, "repeats"), "of_first", firsts, first_bits, "may_be_first")
+
+    # any group on a digest's bit gave its smallest id, so what is not on the bit of one is no response
+    others = write_shared(sorted_out(ids).where("repeats AND NOT may_be_first").select("page_id", "payload_bytes", "payload_digest"), "revisits")
+    others = join_groups(others, repeated, ["payload_digest"], "n").withColumn("payload", F.lit(None).cast("string"))
+    placed = sorted_out(rows.withColumn("of_first", _of_first("page_id"))).withColumn("repeats", F.col("repeats") & is_long)
+    single = placed.where("NOT repeats").select(*rows.columns, F.lit(None).cast(repeated.schema["first"].dataType).alias("first"))
+    few = write_shared(placed.where("repeats AND may_be_first").select(*rows.columns), "responses")
+    few = join_groups(few, repeated, ["payload_digest"], "n", "left")
+
+    columns = [*rows.columns, "first"]
+    joined = single.unionByName(few.select(*columns)).unionByName(others.select(*columns))
     revisits = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    ids = rows.select("page_id", "payload_digest", "payload_bytes")
-    known = (
-        ids.join(repeated, same)
-        .where(revisits)
-        .groupBy("page_id", "payload_digest")
-        .agg(F.min("first").alias("first"))
-        .select(F.col("page_id").alias("id"), F.col("payload_digest").alias("digest"), "first")
-    )
-    joined = rows.join(known, F.col("page_id").eqNullSafe(F.col("id")) & (F.col("payload_digest") == F.col("digest")), "left")
     return joined.select(
-        "page_id", "payload", "payload_bytes", "payload_digest",
-        F.when(F.col("first").isNull(), "response").otherwise("revisit").alias("record_type"),
-        F.col("first").alias("refers_to"),
+        "page_id", F.when(~revisits, F.col("payload")).alias("payload"), "payload_bytes", "payload_digest",
+        F.when(revisits, "revisit").otherwise("response").alias("record_type"),
+        F.when(revisits, F.col("first")).alias("refers_to"),
     )
 
 
+def _of_first(page_id: str) -> Column:
+    return F.xxhash64("payload_digest", page_id).alias("of_first")
+
+
 def _record(date: str) -> Column:
     """A record without the four bytes that end it."""
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))

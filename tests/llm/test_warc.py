@@ -52,6 +52,16 @@ def test_odd_rows(spark):
     assert result(warc.archive_pages(pages.repartition(3), per_file=7)) == brute(rows)
 
 
+def test_one_payload_holds_a_third_of_the_table(spark):
+    draw = random.Random(3)
+    rows = [(i, "hot page " * 20 if i % 3 == 0 else f"page {draw.randrange(1500)} " * 20) for i in range(4_000)]
+    draw.shuffle(rows)
+    pages = spark.createDataFrame(rows, "page_id bigint, html string").repartition(6)
+    records = warc.with_record_types(pages).collect()
+    assert result(warc.archive_pages(pages)) == brute(rows)
+    assert all((r["payload"] is None) == (r["record_type"] == "revisit") for r in records)
+
+
 def test_empty_table(spark):
     assert result(warc.archive_pages(spark.createDataFrame([], "page_id bigint, html string"))) == []
 
