@@ -9,16 +9,18 @@ takes part in that class too. Of many parts `PARTS` are written. At the bound
 about a third are equal, so a pair misses all of them in about one of 50,000
 cases; small sets are dealt several times, since an equal part may be empty.
 
-Candidates are discarded by their sizes, then by their SimHash fingerprints
-with the pivot distances of `simhash_pivots`: fingerprints further apart than
-`RADIUS` in one coordinate, or in all, are not compared. Sets of under
-`FEW` shingles are not discarded by that. What is left is compared exactly.
+Which candidates are near is told by SimHash alone, at two widths. Fingerprints
+of 64 bits are discarded by the pivot distances of `simhash_pivots` and beyond
+`RADIUS` bits; those of 1,024 bits by their distances to reference
+fingerprints and beyond `WIDE_RADIUS` bits. Sets of under `FEW` shingles are
+not discarded by that. An exact comparison of what is near follows.
 
-To keep this far below all pairs, in a few rounds each set is compared with one
+To keep this far below all pairs, in a first round each set is compared with one
 other, the nearest by fingerprint of those that its parts have chosen as their
-centres. So many near copies of one text cost a comparison each. Only the sets
-of parts that are not in one group by then all meet, within tasks, as rows of
-bits; their pairs are never written.
+centres. So many near copies of one text cost a comparison each. The sets
+of parts that are not in one group by then all meet within tasks, first as wide
+fingerprints; only those that are near another there meet once more, as rows of
+bits. Their pairs are never written.
 """
 
 from __future__ import annotations
@@ -43,15 +45,22 @@ LEAST = (4, 5)
 PARTS = 24
 #: Bits of 64 that fingerprints of similar sets differ in at most; about ten are usual at the bound.
 RADIUS = 24
+#: Bits of 1,024 that wide fingerprints of similar sets differ in at most. For no sizes from `FEW` on is
+#: the chance of a bit to differ over 0.1582, so 162 are expected at most and 220 are five deviations more.
+WIDE_RADIUS = 220
 #: Sets of fewer shingles are compared whatever their fingerprints.
 FEW = 16
 #: Rounds with centres before all pairs of different groups are looked at.
-ROUNDS = 2
+ROUNDS = 1
+#: Reference fingerprints of a block of sets that meet, the first ones there.
+REFERENCES = 8
 #: Sets of a part in one block, shingles in one block, and partners that share one copy of a set.
 MEET, CELLS, PARTNERS = 1024, 1_000_000, 64
 _WIDTH = 1.5625
 _STEP = np.uint64(0xD1B54A32D192ED03)
 _STEP_2 = np.uint64(0xA24BAED4963EE407)
+_WORDS = 16
+_STEPS = tokens.mix(np.arange(1, _WORDS + 1, dtype=np.uint64))
 
 
 def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
@@ -86,6 +95,15 @@ def fingerprint(found: np.ndarray) -> np.uint64:
     return np.packbits(majority, bitorder="little").view(np.uint64)[0]
 
 
+def wide_fingerprint(found: np.ndarray) -> np.ndarray:
+    """SimHash of a set over 16 hashes of each shingle, as 16 words of 64 bits."""
+    ones = np.zeros(64 * _WORDS, np.int64)
+    for begin in range(0, len(found), 255):
+        hashes = tokens.mix(found[begin : begin + 255, None] ^ _STEPS)
+        ones += np.unpackbits(hashes.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(found), bitorder="little").view(np.uint64)
+
+
 def signatures(found: np.ndarray) -> np.ndarray:
     """Hashes of the parts of a set, for its own size class and, where similar sets may be there, the next."""
     n = len(found)
@@ -112,24 +130,25 @@ def signatures(found: np.ndarray) -> np.ndarray:
 
 
 def _signed(rows: DataFrame) -> DataFrame:
-    """`doc_id`, `row_key`, `id`, `second`, `n`, `fp` and `signs` of rows with `doc_id`, `row_key` and `text`."""
+    """`doc_id`, `row_key`, `id`, `second`, `n`, `fp`, `wide` and `signs` of rows with `doc_id`, `row_key` and `text`."""
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin in range(0, len(batch), 256):
                 part = batch.slice(begin, 256)
-                ids, sizes, signs = [], [], []
+                ids, sizes, wide, signs = [], [], [], []
                 for found in shingle_sets(part.column("text")):
                     ids.append((*set_ids(found), fingerprint(found)))
                     sizes.append(len(found))
+                    wide.append(wide_fingerprint(found).view(np.int64))
                     signs.append(signatures(found).view(np.int64))
                 id_, second, fp = np.array(ids, np.uint64).view(np.int64).reshape(-1, 3).T
                 columns = [id_, second, np.array(sizes, np.int32), fp]
-                columns = [part.column("doc_id"), part.column("row_key"), *map(pa.array, columns), pa.array(signs, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row_key", "id", "second", "n", "fp", "signs"])
+                columns = [part.column("doc_id"), part.column("row_key"), *map(pa.array, columns), *[pa.array(x, pa.list_(pa.int64())) for x in (wide, signs)]]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row_key", "id", "second", "n", "fp", "wide", "signs"])
 
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {id_type}, row_key bigint, id bigint, second bigint, n int, fp bigint, signs array<bigint>"
+    schema = f"doc_id {id_type}, row_key bigint, id bigint, second bigint, n int, fp bigint, wide array<bigint>, signs array<bigint>"
     return map_arrow(rows, per_batch, schema)
 
 
@@ -137,7 +156,7 @@ def _told_apart(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """`signed` with different sets under different ids, and one row per set with the `key` of a row that has it."""
 
     def nodes_of(rows: DataFrame) -> DataFrame:
-        one = [F.first(c).alias(c) for c in ("n", "fp", "signs")]
+        one = [F.first(c).alias(c) for c in rows.columns if c not in ("doc_id", "row_key", "id", "second")]
         ends = [F.min("second").alias("low"), F.max("second").alias("high"), F.min("row_key").alias("key")]
         return write_shared(rows.groupBy("id").agg(*one, *ends), "nodes")
 
@@ -164,11 +183,19 @@ def _may_be_similar(a: str, b: str) -> Column:
     return sizes & ((F.least(n_a, n_b) < FEW) | simhash_pivots.within(fp_a, fp_b, RADIUS))
 
 
+def _near(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Those of the pairs `a`, `b` whose wide fingerprints allow a similarity of `LEAST`."""
+    both = pairs
+    for c in ("a", "b"):
+        both = both.join(nodes.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("wide").alias(f"wide_{c}")), c)
+    bits = [F.bit_count(F.col("wide_a")[i].bitwiseXOR(F.col("wide_b")[i])) for i in range(_WORDS)]
+    return both.where((F.least("n_a", "n_b") < FEW) | (sum(bits[1:], bits[0]) <= WIDE_RADIUS)).select("a", "b")
+
+
 def _sets(ids: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
-    """`id` and `shingles` of the sets with the written distinct `ids`, from the texts of `rows` that have them."""
-    wanted = write_shared(passing(nodes.select("id", "key"), ids, "id").join(ids, "id"), "wanted")
-    keys = write_shared(wanted.select("key").distinct(), "keys")
-    texts = passing(rows.select(F.col("row_key").alias("key"), "text"), keys, "key")
+    """`id` and `shingles` of the sets with the distinct `ids`, from the texts of `rows` that have them."""
+    wanted = write_shared(nodes.select("id", "key").join(ids, "id"), "wanted")
+    texts = passing(rows.select(F.col("row_key").alias("key"), "text"), wanted.select("key"), "key")
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,8 +209,8 @@ def _sets(ids: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
     found = map_arrow(texts, per_batch, "key bigint, first bigint, second bigint, shingles array<bigint>")
     own = (F.col("id") == F.col("first")) | (F.col("id") == F.col("second"))
     # rows with equal id and text are alike, so any one of them will do
-    found = found.join(wanted, "key").where(own).groupBy("id").agg(F.first("shingles").alias("shingles"))
-    return write_shared(found, "sets")
+    found = found.join(wanted, "key").where(own).groupBy("key", "id").agg(F.first("shingles").alias("shingles"))
+    return write_shared(found.select("id", "shingles"), "sets")
 
 
 def _similar(pairs: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
@@ -191,8 +218,7 @@ def _similar(pairs: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
 
     The set with more partners is copied once for every `PARTNERS` of them.
     """
-    ids = write_shared(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
-    sets = _sets(ids, nodes, rows)
+    sets = _sets(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), nodes, rows)
     ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).groupBy("id").agg(F.count(F.lit(1)).alias("of"))
     ends = write_shared(ends, "partners")
     both = pairs.join(ends.toDF("a", "of_a"), "a").join(ends.toDF("b", "of_b"), "b")
@@ -221,12 +247,11 @@ def _members(nodes: DataFrame) -> DataFrame:
 
 def _apart(members: DataFrame, roots: DataFrame | None, turn: int) -> tuple[DataFrame, DataFrame]:
     """The members of parts that several groups share, with `root`, and one centre per part, another each turn."""
-    placed = members.drop("root")
     if roots is None:
-        placed = placed.withColumn("root", F.col("id"))
+        placed = members.withColumn("root", F.col("id"))
     else:
-        placed = placed.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    placed = write_shared(placed, "placed")
+        placed = members.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        placed = write_shared(placed, "placed")
     turned = placed.withColumn("h", F.xxhash64("id", F.lit(turn)))
     chosen = [F.min_by(c, "h").alias(f"{c}_c") for c in ("id", "n", "fp", "root")]
     centres = turned.groupBy("sign").agg(*chosen, F.min("root").alias("low"), F.max("root").alias("high"), F.max("n").alias("widest"), F.count(F.lit(1)).alias("sets"))
@@ -269,20 +294,84 @@ def links_within(ids, roots, sizes, blocks, sets, two_blocks: bool) -> list[tupl
     return found
 
 
+def near_another(roots, sizes, blocks, wide, two_blocks: bool) -> np.ndarray:
+    """Whether each set has one of another group near it, by sizes and wide fingerprints.
+
+    Distances to the reference fingerprints are tabled first. By the triangle
+    inequality those of near ones differ by `WIDE_RADIUS` at most in each.
+    """
+    part, whole = LEAST
+    far = np.stack([np.bitwise_count(wide ^ w).sum(axis=1, dtype=np.int16) for w in wide[:REFERENCES]], axis=1)
+    near = np.zeros(len(wide), bool)
+    for r in range(len(wide) - 1):
+        later = np.arange(r + 1, len(wide))
+        meets = (roots[later] != roots[r]) & (sizes[later] * whole >= sizes[r] * part) & (sizes[r] * whole >= sizes[later] * part)
+        if two_blocks:
+            meets &= blocks[later] != blocks[r]
+        if near[r]:
+            meets &= ~near[later]
+        few = np.minimum(sizes[later], sizes[r]) < FEW
+        later = later[meets & (few | (np.abs(far[later] - far[r]) <= WIDE_RADIUS).all(axis=1))]
+        few = np.minimum(sizes[later], sizes[r]) < FEW
+        later = later[few | (np.bitwise_count(wide[later] ^ wide[r]).sum(axis=1, dtype=np.int16) <= WIDE_RADIUS)]
+        near[later] = True
+        near[r] |= len(later) > 0
+    return near
+
+
+def _near_in_parts(dealt: DataFrame) -> DataFrame:
+    """The rows of `dealt`, without `wide`, of sets that are near another of their `sign`, `i` and `j`."""
+
+    def judged(table: pa.Table, begins: np.ndarray, number: dict[str, np.ndarray]) -> pa.RecordBatch:
+        flat = table.column("wide").combine_chunks()
+        wide = flat.flatten().to_numpy().view(np.uint64).reshape(-1, _WORDS)
+        keep = np.zeros(len(table), bool)
+        for lo, hi in zip(begins, [*begins[1:], len(table)]):
+            own = slice(lo, hi)
+            two = number["i"][lo] != number["j"][lo]
+            keep[own] = near_another(number["root"][own], number["n"][own], number["block"][own], wide[own], two)
+        kept = table.drop_columns(["wide"]).filter(pa.array(keep)).combine_chunks()
+        return pa.RecordBatch.from_arrays([c.combine_chunks() for c in kept.columns], kept.column_names)
+
+    def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = (table if rest is None else pa.concat_tables([rest, table])).combine_chunks()
+            if not len(table):
+                continue
+            number = {c: table.column(c).to_numpy().astype(np.int64) for c in ("sign", "i", "j", "block", "n", "root")}
+            new = np.logical_or.reduce([number[c][1:] != number[c][:-1] for c in ("sign", "i", "j")])
+            begins = np.flatnonzero(np.r_[True, new])
+            # the last group may go on in the next batch
+            if begins[-1]:
+                yield judged(table.slice(0, begins[-1]), begins[:-1], number)
+            rest = table.slice(begins[-1])
+        if rest is not None:
+            yield judged(rest, np.zeros(1, np.int64), {c: rest.column(c).to_numpy().astype(np.int64) for c in ("i", "j", "block", "n", "root")})
+
+    kept = ["sign", "i", "j", "block", "id", "n", "root"]
+    grouped = dealt.select(*kept, "wide").repartition("sign", "i", "j").sortWithinPartitions("sign", "i", "j")
+    return map_arrow(grouped, per_batch, "sign bigint, i int, j int, block int, id bigint, n int, root bigint")
+
+
 def _meet(apart: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
     """Links `a`, `b` of sets that share a part and are of different groups: all meet, and no pairs are written.
 
     A part with many sets, or large ones, is cut into blocks that meet in pairs,
-    each in a task of bounded memory. Shingles are compared by 31 bits of their hashes.
+    each in a task of bounded memory. Sets that are near no other by their wide
+    fingerprints leave before any shingle moves. Shingles are compared by 31
+    bits of their hashes.
     """
     apart = apart.select("sign", "id", "n", "root", "sets", "widest")
-    ids = write_shared(apart.select("id").distinct(), "ids")
-    sets = _sets(ids, nodes, rows).select("id", F.transform("shingles", lambda h: h.bitwiseAND((1 << 31) - 1).cast("int")).alias("shingles"))
     block = F.greatest(F.lit(2), F.least(F.lit(MEET), (F.lit(CELLS) / F.col("widest")).cast("int")))
     dealt = apart.withColumn("blocks", F.ceil(F.col("sets") / block).cast("int"))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("sign", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "n", "root")
+    near = write_shared(_near_in_parts(dealt.join(nodes.select("id", "wide"), "id")), "near")
+    sets = _sets(near.select("id").distinct(), nodes, rows)
+    sets = sets.select("id", F.transform("shingles", lambda h: h.bitwiseAND((1 << 31) - 1).cast("int")).alias("shingles"))
 
     def per_group(group: pa.Table) -> pa.Table:
         ids, roots, sizes, blocks = (group.column(c).to_numpy().astype(np.int64) for c in ("id", "root", "n", "block"))
@@ -291,7 +380,7 @@ def _meet(apart: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
         found = np.array(links_within(ids, roots, sizes, blocks, sets, two), np.int64).reshape(-1, 2)
         return pa.table([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
 
-    links = grouped_arrow(dealt.join(sets, "id"), ["sign", "i", "j"], per_group, "a bigint, b bigint")
+    links = grouped_arrow(near.join(sets, "id"), ["sign", "i", "j"], per_group, "a bigint, b bigint")
     return write_shared(links.distinct(), "similar")
 
 
@@ -319,7 +408,8 @@ def with_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         near = apart.where((F.col("root") != F.col("root_c")) & _may_be_similar("", "_c"))
         bits = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp_c")))
         pairs = near.groupBy("id").agg(F.min_by("id_c", F.struct(bits, "id_c")).alias("centre"))
-        pairs = write_shared(pairs.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct(), "candidates")
+        pairs = pairs.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
+        pairs = write_shared(_near(pairs, nodes), "candidates")
         if not pairs.isEmpty():
             found = _similar(pairs, nodes, rows)
             links = found if links is None else links.union(found)

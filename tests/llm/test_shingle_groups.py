@@ -147,3 +147,41 @@ def test_sets_that_share_their_first_hash_stay_apart(spark):
     told, nodes = shingle_groups._told_apart(signed)
     ids = {r["doc_id"]: r["id"] for r in told.collect()}
     assert ids[0] == ids[1] != ids[2] and nodes.count() == 5
+
+
+def _pair(draw, common, left, right):
+    """Two sets with `common` shingles in both and others in one each."""
+    total = np.unique(draw.integers(0, 1 << 63, common + left + right + 9).astype(np.uint64))
+    draw.shuffle(total)
+    return np.sort(total[: common + left]), np.sort(np.r_[total[:common], total[common + left : common + left + right]])
+
+
+@pytest.mark.parametrize("size", [16, 20, 28, 60, 250, 2000])
+def test_wide_fingerprints_keep_pairs_at_the_bound_and_discard_less_similar_ones(size):
+    draw = np.random.default_rng(size)
+    distance = lambda sets: int(np.bitwise_count(np.bitwise_xor(*map(shingle_groups.wide_fingerprint, sets))).sum())
+    times = max(20, min(200, 40_000 // size))
+    for _ in range(times):
+        left = int(round(size // 4 * draw.random()))
+        assert distance(_pair(draw, size, left, size // 4 - left)) <= shingle_groups.WIDE_RADIUS
+    # similar by a half or less
+    assert sum(distance(_pair(draw, size, size // 2, size - size // 2)) <= shingle_groups.WIDE_RADIUS for _ in range(times)) <= times / 20
+
+
+@pytest.mark.parametrize("two_blocks", [False, True])
+def test_sets_that_meet_are_judged_by_wide_fingerprints(two_blocks):
+    """Same verdicts as all distances, with reference fingerprints; small sets are near whatever theirs are."""
+    draw = np.random.default_rng(7)
+    pairs = [s for k in range(40) for s in _pair(draw, 100, 5 + k, 5 + k)]
+    wide = np.array([shingle_groups.wide_fingerprint(s) for s in pairs])
+    sizes, roots, blocks = np.array([len(s) for s in pairs]), np.arange(80) // 4, np.arange(80) % 2
+    roots[:60] = np.arange(60)
+    bits = np.bitwise_count(wide[:, None] ^ wide[None]).sum(axis=2, dtype=int)
+    meets = (roots[:, None] != roots) & (5 * sizes[:, None] >= 4 * sizes) & (5 * sizes >= 4 * sizes[:, None])
+    if two_blocks:
+        meets &= blocks[:, None] != blocks
+    got = shingle_groups.near_another(roots, sizes, blocks, wide, two_blocks)
+    expected = (meets & (bits <= shingle_groups.WIDE_RADIUS)).any(axis=1)
+    assert 0 < expected.sum() < 60 and got.tolist() == expected.tolist()
+    few = np.full(3, 5)
+    assert shingle_groups.near_another(np.arange(3), few, np.arange(3), wide[[0, 2, 4]], two_blocks).all()
