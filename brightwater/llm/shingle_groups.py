@@ -15,6 +15,9 @@ of 64 bits are discarded by the pivot distances of `simhash_pivots` and beyond
 fingerprints and beyond `WIDE_RADIUS` bits. Sets of under `FEW` shingles are
 not discarded by that. An exact comparison of what is near follows.
 
+Joins that carry sets or wide fingerprints are merge joins, so that these never
+pass the driver for a broadcast, however few they are.
+
 To keep this far below all pairs, in a first round each set is compared with one
 other, the nearest by fingerprint of those that its parts have chosen as their
 centres. So many near copies of one text cost a comparison each. The sets
@@ -187,14 +190,14 @@ def _near(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Those of the pairs `a`, `b` whose wide fingerprints allow a similarity of `LEAST`."""
     both = pairs
     for c in ("a", "b"):
-        both = both.join(nodes.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("wide").alias(f"wide_{c}")), c)
+        both = both.join(nodes.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("wide").alias(f"wide_{c}")).hint("merge"), c)
     bits = [F.bit_count(F.col("wide_a")[i].bitwiseXOR(F.col("wide_b")[i])) for i in range(_WORDS)]
     return both.where((F.least("n_a", "n_b") < FEW) | (sum(bits[1:], bits[0]) <= WIDE_RADIUS)).select("a", "b")
 
 
 def _sets(ids: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
     """`id` and `shingles` of the sets with the distinct `ids`, from the texts of `rows` that have them."""
-    wanted = write_shared(nodes.select("id", "key").join(ids, "id"), "wanted")
+    wanted = write_shared(nodes.select("id", "key").join(ids.hint("merge"), "id"), "wanted")
     texts = passing(rows.select(F.col("row_key").alias("key"), "text"), wanted.select("key"), "key")
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,7 +212,7 @@ def _sets(ids: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
     found = map_arrow(texts, per_batch, "key bigint, first bigint, second bigint, shingles array<bigint>")
     own = (F.col("id") == F.col("first")) | (F.col("id") == F.col("second"))
     # rows with equal id and text are alike, so any one of them will do
-    found = found.join(wanted, "key").where(own).groupBy("key", "id").agg(F.first("shingles").alias("shingles"))
+    found = found.join(wanted.hint("merge"), "key").where(own).groupBy("key", "id").agg(F.first("shingles").alias("shingles"))
     return write_shared(found.select("id", "shingles"), "sets")
 
 
@@ -228,11 +231,11 @@ def _similar(pairs: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
         F.ceil(F.greatest("of_a", "of_b") / PARTNERS).alias("deals"),
     )
     both = write_shared(both.select("hub", "leaf", F.pmod(F.xxhash64("leaf"), F.col("deals")).alias("deal")), "pairs")
-    left = both.select("hub", "deal").distinct().join(sets.toDF("hub", "x"), "hub")
-    right = both.join(sets.toDF("leaf", "y"), "leaf")
+    left = both.select("hub", "deal").distinct().join(sets.toDF("hub", "x").hint("merge"), "hub")
+    right = both.join(sets.toDF("leaf", "y").hint("merge"), "leaf")
     common = F.size(F.array_intersect("x", "y"))
     part, whole = LEAST
-    same = left.join(right, ["hub", "deal"]).where(common * whole >= (F.size("x") + F.size("y") - common) * part)
+    same = left.join(right.hint("merge"), ["hub", "deal"]).where(common * whole >= (F.size("x") + F.size("y") - common) * part)
     return write_shared(same.select(F.col("hub").alias("a"), F.col("leaf").alias("b")), "similar")
 
 
@@ -355,8 +358,8 @@ def _near_in_parts(dealt: DataFrame) -> DataFrame:
     return map_arrow(grouped, per_batch, "sign bigint, i int, j int, block int, id bigint, n int, root bigint")
 
 
-def _meet(apart: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
-    """Links `a`, `b` of sets that share a part and are of different groups: all meet, and no pairs are written.
+def _meet(apart: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame | None:
+    """Links `a`, `b` of sets that share a part and are of different groups, if there may be any: all meet, and no pairs are written.
 
     A part with many sets, or large ones, is cut into blocks that meet in pairs,
     each in a task of bounded memory. Sets that are near no other by their wide
@@ -369,7 +372,9 @@ def _meet(apart: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("sign", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "n", "root")
-    near = write_shared(_near_in_parts(dealt.join(nodes.select("id", "wide"), "id")), "near")
+    near = write_shared(_near_in_parts(dealt.join(nodes.select("id", "wide").hint("merge"), "id")), "near")
+    if near.isEmpty():
+        return None
     sets = _sets(near.select("id").distinct(), nodes, rows)
     sets = sets.select("id", F.transform("shingles", lambda h: h.bitwiseAND((1 << 31) - 1).cast("int")).alias("shingles"))
 
@@ -380,7 +385,7 @@ def _meet(apart: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
         found = np.array(links_within(ids, roots, sizes, blocks, sets, two), np.int64).reshape(-1, 2)
         return pa.table([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
 
-    links = grouped_arrow(near.join(sets, "id"), ["sign", "i", "j"], per_group, "a bigint, b bigint")
+    links = grouped_arrow(near.join(sets.hint("merge"), "id"), ["sign", "i", "j"], per_group, "a bigint, b bigint")
     return write_shared(links.distinct(), "similar")
 
 
@@ -402,8 +407,8 @@ def with_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
             break
         if turn == ROUNDS:
             found = _meet(apart, nodes, rows)
-            links = found if links is None else links.union(found)
-            roots = components(links)
+            if found is not None and not found.isEmpty():
+                roots = components(found if links is None else links.union(found))
             break
         near = apart.where((F.col("root") != F.col("root_c")) & _may_be_similar("", "_c"))
         bits = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp_c")))

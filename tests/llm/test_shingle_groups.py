@@ -185,3 +185,35 @@ def test_sets_that_meet_are_judged_by_wide_fingerprints(two_blocks):
     assert 0 < expected.sum() < 60 and got.tolist() == expected.tolist()
     few = np.full(3, 5)
     assert shingle_groups.near_another(np.arange(3), few, np.arange(3), wide[[0, 2, 4]], two_blocks).all()
+
+
+def test_only_sets_with_a_near_fingerprint_send_their_shingles(spark, monkeypatch):
+    """Texts with a passage in common share parts, but none is near another, so that no set is read for the meeting."""
+    draw = random.Random(3)
+    passage = [f"p{i}" for i in range(90)]
+    rows = [(0, " ".join(passage + [f"q{draw.randrange(10**6)}" for _ in range(110)])) for _ in range(60)]
+    read, met, sets, near = [], [], shingle_groups._sets, shingle_groups._near_in_parts
+    monkeypatch.setattr(shingle_groups, "_sets", lambda ids, *rest: read.append(ids.count()) or sets(ids, *rest))
+    monkeypatch.setattr(shingle_groups, "_near_in_parts", lambda dealt: met.append(dealt.count()) or near(dealt))
+    assert len(groups_of(spark, rows)) == 60
+    assert sum(met) > 0 and sum(read) == 0
+
+
+def test_few_tables_are_written(spark, monkeypatch):
+    """Each table is a query that the driver keeps; with two rounds of centres there were over sixty here."""
+    from brightwater.llm import bitmaps, components, group_joins
+
+    draw = random.Random(5)
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for k in range(90):
+        words = list(base) if k % 2 else [f"r{draw.randrange(10**6)}" for _ in range(100)] + base[:60]
+        for _ in range(draw.choice([0, 1, 2])):
+            words[draw.randrange(100)] = f"c{k}"
+        rows.append((k, " ".join(words)))
+    written, write = [], shingle_groups.write_shared
+    for module in (shingle_groups, bitmaps, components, group_joins):
+        monkeypatch.setattr(module, "write_shared", lambda df, name: written.append(name) or write(df, name))
+    assert shingle_groups.keep_first(spark.createDataFrame(rows, "doc_id bigint, text string")).count() == 46
+    print("written", len(written))
+    assert len(written) <= 45
