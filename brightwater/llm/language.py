@@ -9,10 +9,10 @@ log2(sample length) / n bits per letter; the language with the least wins.
 The sample is bounded: `DOCS` documents a language with the smallest hash of
 their id, and of those `PIECES` pieces of `PIECE` characters, or fewer where the
 languages together would exceed `CHARACTERS`. An automaton has fewer than three
-edges a character. They are sent to the executors as a hash table of 24 bytes an
-edge, whatever the number of letters, so a model is never over `MODEL_BYTES`.
-Every text is parsed whole, in stretches of equal length side by side, each
-beginning a new phrase.
+edges a character. They are sent to the executors as rows that overlap, 10 to 17
+bytes an edge, whatever the number of letters; a model over `MODEL_BYTES` is
+refused. Every text is parsed whole, in stretches of equal length side by side,
+each beginning a new phrase.
 """
 
 from __future__ import annotations
@@ -22,12 +22,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from brightwater.llm import tokens
-from brightwater.llm.common import map_arrow
+from brightwater.llm.common import map_arrow, write_shared
 
 DOCS = 60
 PIECES = 60
@@ -35,13 +36,17 @@ PIECE = 500
 #: Characters of the samples of all languages together.
 CHARACTERS = 2_000_000
 #: Bytes of a model that is sent to the executors: three edges a character, of 24
-#: bytes each, and the classes of all code points.
+#: bytes each at most, and the classes of all code points.
 MODEL_BYTES = 72 * CHARACTERS + (8 << 20)
 HELD_OUT = 2
 UNKNOWN = "und"
 _STRETCH = 256
+#: Stretches that are parsed side by side.
+_AT_ONCE = 8192
 #: Bytes of text that are worked on at once.
 _SLICE_BYTES = 1 << 20
+#: Places that are tried at once for a row of edges.
+_WINDOW = 4096
 _SPACE, _OTHER = 0, 1  # no letter; a letter that no sample has
 
 
@@ -75,53 +80,95 @@ def _automaton(codes: list[int]) -> list[dict[int, int]]:
     return following
 
 
+def _row_starts(rows: list[np.ndarray], width: int) -> np.ndarray:
+    """Where each row of codes begins, so that no two begin at one place and none share an edge's place.
+
+    First fit, longest rows first. Rows of one code fill what is left, all rows of
+    the same code at once. Windows that are nearly full are not searched again.
+    """
+    starts = np.zeros(len(rows), np.int64)
+    free, unused = np.ones((2, sum(map(len, rows)) + width + 2 * _WINDOW), bool)
+    singles: dict[int, list[int]] = {}
+    low = 0
+    for r in sorted(range(len(rows)), key=lambda r: len(rows[r]), reverse=True):
+        codes = rows[r].tolist()
+        if len(codes) == 1:
+            singles.setdefault(codes[0], []).append(r)
+            continue
+        at = low
+        while True:
+            if at + width + _WINDOW > len(free):
+                free, unused = np.pad([free, unused], ((0, 0), (0, len(free))), constant_values=True)
+            fits = unused[at : at + _WINDOW].copy()
+            for code in codes:
+                fits &= free[at + code : at + code + _WINDOW]
+            if fits.any():
+                break
+            at += _WINDOW
+        starts[r] = at + fits.argmax()
+        unused[starts[r]] = free[starts[r] + rows[r]] = False
+        if np.count_nonzero(free[low : low + _WINDOW]) < _WINDOW // 20:
+            low += _WINDOW
+    # Each of them takes two places at most from each of the others.
+    room = width + 2 * sum(map(len, singles.values()))
+    free, unused = np.pad([free, unused], ((0, 0), (0, room)), constant_values=True)
+    for code, members in singles.items():
+        places = np.flatnonzero(unused[: len(unused) - code] & free[code:])[: len(members)]
+        starts[members] = places
+        unused[places] = free[places + code] = False
+    return starts
+
+
 @dataclass
 class Edges:
-    """Edges of an automaton in a hash table with linear probing, half full.
+    """Edges of an automaton, in rows that overlap (a double array; Aoe, 1989).
 
-    The edge from `state` by `code` has the key `state * width + code`; an empty
-    place has the key -1."""
+    The row of a state begins at `start[state]`, and its edge by `code` is at
+    that place plus `code` if `owner` there is the row's begin. The last row and
+    the last place are empty, for states without edges."""
 
-    keys: np.ndarray
+    width: int
+    start: np.ndarray
+    owner: np.ndarray
     to: np.ndarray
 
-    def _places(self, keys: np.ndarray) -> np.ndarray:
-        high = (keys.view(np.uint64) * tokens.BASE) >> np.uint64(32)
-        return (high * np.uint64(len(self.keys)) >> np.uint64(32)).view(np.int64)
-
     @staticmethod
-    def of(keys: np.ndarray, to: np.ndarray) -> Edges:
-        """Each key once. The places do not exceed 2^32, as `_places` needs."""
-        size = max(2, 2 * len(keys))
-        if size >= 1 << 32:
+    def of(keys: np.ndarray, to: np.ndarray, width: int = 256) -> Edges:
+        """The edge from `state` by `code` has the key `state * width + code`; each key once."""
+        states, codes = np.divmod(keys, width)
+        order = np.argsort(states, kind="stable")
+        used, first = np.unique(states[order], return_index=True)
+        starts = _row_starts(np.split(codes[order], first[1:]) if len(keys) else [], width)
+        places = np.repeat(starts, np.diff(first, append=len(keys))) + codes[order]
+        size = int(places.max(initial=-1)) + 2
+        if size + width >= 1 << 31:
             raise ValueError(f"{len(keys)} edges are too many for one language")
-        table = Edges(np.full(size, -1, np.int64), np.zeros(size, np.int32))
-        places, waiting = table._places(keys), np.arange(len(keys))
-        while len(waiting):
-            free = waiting[table.keys[places[waiting]] < 0]
-            _, first = np.unique(places[free], return_index=True)
-            put = free[first]
-            table.keys[places[put]], table.to[places[put]] = keys[put], to[put]
-            waiting = waiting[table.keys[places[waiting]] != keys[waiting]]
-            places[waiting] = (places[waiting] + 1) % size
+        start = np.full(used.max(initial=-1) + 2, size - 1, np.int32)
+        start[used] = starts
+        table = Edges(width, start, np.full(size, -1, np.int32), np.zeros(size, np.int32))
+        table.owner[places], table.to[places] = places - codes[order], to[order]
         return table
 
+    def linked(self) -> Edges:
+        """The same with the begin of the next state's row in `to`, as `follow` takes it."""
+        return Edges(self.width, self.start, self.owner, self.start.take(self.to, mode="clip"))
+
+    def follow(self, rows: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What the edge by each code leads to, and the indexes of those that are not there."""
+        places = rows + codes
+        missing = np.flatnonzero(self.owner.take(places, mode="clip") != rows)
+        return self.to.take(places, mode="clip"), missing
+
     def find(self, keys: np.ndarray) -> np.ndarray:
-        """The state that each edge leads to, -1 where there is none."""
-        places = self._places(keys)
-        held = self.keys[places]
-        found = np.where(held == keys, self.to[places], -1)
-        waiting = np.flatnonzero((held != keys) & (held >= 0))
-        while len(waiting):
-            at = places[waiting] + 1
-            at[at == len(self.keys)] = 0
-            places[waiting] = at
-            held = self.keys[at]
-            same = held == keys[waiting]
-            found[waiting[same]] = self.to[at[same]]
-            waiting = waiting[~same & (held >= 0)]
+        """What each edge leads to, -1 where there is none."""
+        states, codes = np.divmod(keys, self.width)
+        found, missing = self.follow(self.start.take(states, mode="clip"), codes)
+        found[missing] = -1
         return found
 
+    def bytes(self) -> int:
+        return self.start.nbytes + self.owner.nbytes + self.to.nbytes
+
 
 @dataclass
 class Model:
@@ -132,7 +179,7 @@ class Model:
     bits: np.ndarray
 
     def bytes(self) -> int:
-        return self.classes.nbytes + sum(e.keys.nbytes + e.to.nbytes for e in self.edges)
+        return self.classes.nbytes + sum(e.bytes() for e in self.edges)
 
 
 def _collapsed(codes: np.ndarray) -> np.ndarray:
@@ -159,7 +206,8 @@ def fit(pieces: dict[str, list[str]]) -> Model:
         following = _automaton(codes)
         n = sum(map(len, following))
         keys = np.fromiter((state * width + code for state, out in enumerate(following) for code in out), np.int64, n)
-        edges.append(Edges.of(keys, np.fromiter((to for out in following for to in out.values()), np.int32, n)))
+        to = np.fromiter((to for out in following for to in out.values()), np.int32, n)
+        edges.append(Edges.of(keys, to, width).linked())
         bits.append(math.log2(max(2, len(codes))))
     return Model(sorted(pieces), classes, width, edges, np.array(bits))
 
@@ -169,16 +217,13 @@ def phrases(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     raw = texts.buffers()[2]
     data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None else np.zeros(0, np.uint8)
-    heads = np.zeros(len(data) + 1, np.int64)
-    np.cumsum((data & 0xC0) != 0x80, out=heads[1:])
-    first = heads[offsets - offsets[0]]
-    codes = model.classes[np.frombuffer(bytes(data).decode("utf-8", "replace").encode("utf-32-le"), np.uint32)]
-    has_letter = tokens.sums(codes != _SPACE, first) > 0
+    first = np.concatenate([[0], np.cumsum(pc.utf8_length(texts).to_numpy())])
+    codes = model.classes.take(np.frombuffer(bytes(data).decode("utf-8", "replace").encode("utf-32-le"), np.uint32))
     keep = _collapsed(codes)
     keep[first[:-1][first[:-1] < len(codes)]] = True
-    kept = np.zeros(len(codes) + 1, np.int64)
-    np.cumsum(keep, out=kept[1:])
-    first, codes = kept[first], codes[keep]
+    kept = np.flatnonzero(keep)
+    first, codes = np.searchsorted(kept, first), codes.take(kept)
+    has_letter = np.diff(np.searchsorted(np.flatnonzero(codes != _SPACE), first)) > 0
 
     lengths = np.diff(first)
     stretches = -(-lengths // _STRETCH)
@@ -186,24 +231,24 @@ def phrases(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     number = np.arange(len(owner)) - np.repeat(np.cumsum(stretches) - stretches, stretches)
     begin = first[owner] + number * _STRETCH
     size = np.minimum(lengths[owner] - number * _STRETCH, _STRETCH)
+    longest = np.argsort(-size, kind="stable")
+    owner, begin, size = owner[longest], begin[longest], size[longest]
     counts = np.zeros((len(texts), len(model.languages)), np.int64)
-    padded = np.concatenate([codes, np.zeros(_STRETCH, codes.dtype)])
-    at_once = 4096
-    for low in range(0, len(owner), at_once):
-        part = slice(low, low + at_once)
-        grid = padded[begin[part][:, None] + np.arange(_STRETCH)].astype(np.int64)
-        columns = np.ascontiguousarray(grid.T)
-        inside = np.arange(_STRETCH)[:, None] < size[part]
+    for low in range(0, len(owner), _AT_ONCE):
+        part = slice(low, low + _AT_ONCE)
+        # Of a column, only the stretches that reach it: the first ones, as the longest come first.
+        reach = np.searchsorted(-size[part], -np.arange(size[low]))
+        columns = [codes.take(begin[low : low + n] + k) for k, n in enumerate(reach)]
         for k, edges in enumerate(model.edges):
-            state = np.zeros(columns.shape[1], np.int64)
-            found = np.ones(columns.shape[1], np.int64)
-            for column, valid in zip(columns, inside):
-                following = edges.find(state * model.width + column)
-                ends = np.flatnonzero(following < 0)
-                if len(ends):
-                    found[ends] += valid[ends]
-                    following[ends] = np.maximum(edges.find(column[ends]), 0)
-                state = following.astype(np.int64)
+            root = edges.start[0]
+            begins = edges.find(np.arange(model.width))
+            begins[begins < 0] = root
+            row = np.full(len(size[part]), root)
+            found = np.ones(len(row), np.int64)
+            for column in columns:
+                row, ends = edges.follow(row[: len(column)], column)
+                found[ends] += 1
+                row[ends] = begins.take(column.take(ends))
             np.add.at(counts[:, k], owner[part], found)
     return counts, has_letter
 
@@ -213,16 +258,16 @@ def predict(model: Model, texts: pa.Array) -> tuple[list[str], np.ndarray]:
     names, scores = [], []
     for _, part in tokens.slices(texts, _SLICE_BYTES):
         counts, has_letter = phrases(model, part)
-        cost = counts * model.bits
-        for d in range(len(part)):
-            if not has_letter[d] or not model.languages:
-                names.append(UNKNOWN)
-                scores.append(0.0)
-                continue
-            order = np.argsort(cost[d], kind="stable")
-            names.append(model.languages[order[0]])
-            scores.append(1.0 if len(order) == 1 else float(1 - cost[d][order[0]] / cost[d][order[1]]))
-    return names, np.array(scores)
+        name, score = np.full(len(part), UNKNOWN, object), np.zeros(len(part))
+        if model.languages:
+            cost = (counts * model.bits)[has_letter]
+            order = np.argsort(cost, axis=1, kind="stable")
+            name[has_letter] = np.array(model.languages, object)[order[:, 0]]
+            least = np.take_along_axis(cost, order[:, :2], axis=1)
+            score[has_letter] = 1 - least[:, 0] / least[:, 1] if len(model.languages) > 1 else 1
+        names.extend(name)
+        scores.append(score)
+    return names, np.concatenate([np.zeros(0), *scores])
 
 
 def held_out(doc_id):
@@ -238,11 +283,13 @@ def sample(docs: DataFrame, characters: int = CHARACTERS) -> dict[str, list[str]
         "doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL"
     )
     known = known.where(~held_out(F.col("doc_id"))).withColumn("order", F.xxhash64("doc_id"))
-    share = max(1, characters // max(1, known.select("lang").distinct().count()))
-    length, most = min(PIECE, share), max(1, min(PIECES, share // PIECE))
     first = known.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("order", "doc_id", "text"))).where(
         F.col("n") <= DOCS
     )
+    # Every language is among them, so that the texts are read once.
+    first = write_shared(first, "language_sample")
+    share = max(1, characters // max(1, first.select("lang").distinct().count()))
+    length, most = min(PIECE, share), max(1, min(PIECES, share // PIECE))
     places = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / length).cast("int"))
     pieces = first.where("text != ''").select("lang", "order", "text", F.explode(places).alias("at")).select(
         "lang", F.xxhash64("order", "at").alias("order"), F.substring(F.col("text"), F.col("at") * length + 1, F.lit(length)).alias("piece")

@@ -62,6 +62,55 @@ def test_edges_are_found_and_others_not():
     assert language.Edges.of(keys[:0], np.zeros(0, np.int32)).find(keys[:3]).tolist() == [-1] * 3
 
 
+def test_rows_of_edges_overlap():
+    draw = random.Random(6)
+    for letters, size in ((30, 12), (500, 17), (5_000, 17)):
+        codes = [min(letters - 1, int(draw.paretovariate(0.6))) if letters == 30 else draw.randrange(letters) for _ in range(5_000)]
+        edges = [(state, code, to) for state, out in enumerate(language._automaton(codes)) for code, to in out.items()]
+        draw.shuffle(edges)
+        keys = np.array([state * letters + code for state, code, _ in edges])
+        table = language.Edges.of(keys, np.array([to for *_, to in edges], np.int32), letters)
+        assert table.bytes() <= size * len(edges)
+        assert table.find(keys).tolist() == [to for *_, to in edges]
+        known = set(keys.tolist())
+        others = np.array([k for k in range(0, (len(codes) * 2 + 9) * letters, max(1, letters // 7)) if k not in known])
+        assert (table.find(others) == -1).all()
+        assert len(np.unique(table.start[:-1][np.unique(keys // letters)])) == len(np.unique(keys // letters))
+
+
+def test_stretches_in_any_grouping_give_the_same_phrases(monkeypatch):
+    draw = random.Random(7)
+    samples = {k: ["".join(draw.choice(letters) for _ in range(300))] for k, letters in {"a": "abcd ", "b": "bé d"}.items()}
+    texts = ["".join(draw.choice("abcdé .") for _ in range(draw.choice([0, 1, 40, 255, 256, 257, 700, 3_000]))) for _ in range(25)]
+    model = language.fit(samples)
+    expected = [[brute_phrases(samples[name], text) if text else 0 for name in model.languages] for text in texts]
+    for at_once in (1, 3, 1_000):
+        monkeypatch.setattr(language, "_AT_ONCE", at_once)
+        counts, _ = language.phrases(model, pa.array(texts, pa.large_string()))
+        assert counts.tolist() == expected
+
+
+def test_equal_costs_go_by_name_and_one_language_is_certain():
+    texts = pa.array(["the dog", None, "...", "", "cat"])
+    names, scores = language.predict(language.fit({k: ["the dog and the cat"] for k in ("b", "a", "c")}), texts)
+    assert list(names) == ["a", "und", "und", "und", "a"] and scores.tolist() == [0.0] * 5
+    names, scores = language.predict(language.fit({"b": ["the dog"]}), texts)
+    assert list(names) == ["b", "und", "und", "und", "b"] and scores.tolist() == [1.0, 0.0, 0.0, 0.0, 1.0]
+
+
+def test_the_sample_reads_the_texts_once(spark):
+    docs = spark.createDataFrame([(i, f"the dog {i}", "en" if i % 2 else "fr") for i in range(200)], "doc_id bigint, text string, lang string")
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    assert set(language.sample(docs.mapInArrow(counted, docs.schema))) == {"en", "fr"}
+    assert read.value == 200
+
+
 def test_many_languages_share_the_sample(spark):
     draw = random.Random(4)
     words = {f"l{k:03}": ["".join(draw.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(30)] for k in range(200)}
